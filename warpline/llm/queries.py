@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warpline.llm import bpe, fingerprints, langid, packing, quality, simhash, urlfilter
+from warpline.llm import bpe, fingerprints, langid, linededup, packing, quality, simhash, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(_read(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_linededup": op1_linededup,
         "op3_simhash": op3_simhash,
         "op4_langid": op4_langid,
         "op6_packing": op6_packing,
