@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warpline.llm import bpe, fingerprints, langid, linededup, packing, quality, simhash, urlfilter
+from warpline.llm import bpe, fingerprints, grulm, langid, linededup, packing, quality, simhash, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(_read(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits_of_pages(spark, _read(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_read(spark, sf_dir, "documents"))
 
 
+def op5_grulm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grulm.language_model_scores(_read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -48,8 +56,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_linededup": op1_linededup,
+        "op2_warc": op2_warc,
         "op3_simhash": op3_simhash,
         "op4_langid": op4_langid,
+        "op5_grulm": op5_grulm,
         "op6_packing": op6_packing,
         "op7_fingerprints": op7_fingerprints,
         "op8_urlfilter": op8_urlfilter,
@@ -59,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urlfilter": urlfilter.sql()}
+    return {"op2_warc": warc.sql(), "op8_urlfilter": urlfilter.sql()}
