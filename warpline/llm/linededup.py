@@ -7,7 +7,8 @@
    character of scripts that do without spaces), so they cover the whole line
    and keep in step after an insertion. ``BANDS * ROWS`` minima over rotations of
    two shingle hashes, computed in generated code, form the band keys. At
-   similarity 0.8 a pair shares a band with probability 0.998.
+   similarity 0.8 a pair shares a band with probability 0.998. Keys that one line
+   alone has go before rows are dealt out by bucket.
 3. In a bucket every line is compared with one leader: candidates grow with the
    rows and not with the square of a group. The texts of both are fetched and
    the exact Jaccard similarity of their shingle sets decides.
@@ -27,10 +28,10 @@ from warpline.llm.components import components
 from warpline.plans.scratch import Scratch, pick
 
 SHINGLE = 12
-BANDS, ROWS = 13, 4
+BANDS, ROWS = 9, 3
 SIMILARITY = 0.8
-#: Candidate line ids are broadcast to the scan up to this many; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Line ids or shared band keys are broadcast to a scan up to this many; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _RUN = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[⺀-\x{{10FFFF}}]|[!-\x{{2E7F}}]{{1,{SHINGLE}}}|[\x00-\x1F\x7F])\s*"
 _LINE_BASE = 1 << 32
 #: White space that ends of lines lose.
@@ -87,6 +88,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(similarity(shingles(F.col("la")), shingles(F.col("lb"))) >= SIMILARITY).select("a", "b")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its row count is within the bound."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -110,11 +116,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
     rows = table.select("id", F.explode("bands").alias("k"))
     salt = F.xxhash64("k")
     leaders = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("id").bitwiseXOR(salt)).alias("m")).where("n > 1")
-    buckets = scratch.save(rows.join(leaders.select("k", F.col("m").bitwiseXOR(salt).alias("leader")), "k"), "buckets")
-    wanted = scratch.save(buckets.select("id").distinct(), "wanted")
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = wanted.withColumnRenamed("id", "h1")
-    texts = lines.select("h1", "line").join(F.broadcast(ids) if few else ids, "h1", "left_semi")
+    leaders = scratch.save(leaders.select("k", F.col("m").bitwiseXOR(salt).alias("leader")), "leaders")
+    buckets = scratch.save(rows.join(_small(leaders), "k"), "buckets")
+    wanted = scratch.save(buckets.select(F.col("id").alias("h1")).distinct(), "wanted")
+    texts = lines.select("h1", "line").join(_small(wanted), "h1", "left_semi")
     texts = scratch.save(texts.groupBy(F.col("h1").alias("id")).agg(F.first("line").alias("line")), "texts")
 
     first = _verified(buckets.where("id <> leader").select(*_ordered("id", "leader")).distinct(), texts)
