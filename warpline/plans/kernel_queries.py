@@ -223,18 +223,26 @@ def _options_sql(log_ratio: bool) -> str:
     r = "ln((s / k)::DOUBLE)::FLOAT" if log_ratio else "(s / k)::FLOAT"
 
     def cdf(x: str) -> str:
-        k = f"(1 / (1 + 0.2316419 * abs({x})))"
-        poly = f"(0.319381530 * {k} - 0.356563782 * {k}^2 + 1.781477937 * {k}^3 - 1.821255978 * {k}^4 + 1.330274429 * {k}^5)"
-        upper = f"(1 - {poly} * exp(-0.5 * {x} * {x}) * 0.39894228040143270286)"
-        return f"(CASE WHEN {x} < 0 THEN 1 - {upper} ELSE {upper} END)"
+        f = "::FLOAT"
+        k = f"((1{f} / (1{f} + 0.2316419{f} * abs({x}))){f})"
+        p = [k]
+        for _ in range(4):
+            p.append(f"(({p[-1]} * {k}){f})")
+        rest = f"({p[1]} * (-0.356563782){f})"
+        for q, c in zip(p[2:], ("1.781477937", "(-1.821255978)", "1.330274429")):
+            rest = f"(({rest} + {q} * {c}{f}){f})"
+        poly = f"(({rest} + {k} * 0.319381530{f}){f})"
+        density = f"(exp(((-0.5){f} * {x} * {x})::DOUBLE){f} * 0.39894228040143270286{f})"
+        upper = f"((1{f} - {poly} * {density}){f})"
+        return f"((CASE WHEN {x} < 0 THEN 1{f} - {upper} ELSE {upper} END){f})"
 
     return f"""
-WITH t AS (SELECT l_orderkey AS id, l_linenumber AS n, l_extendedprice::FLOAT / 1000::FLOAT AS s, l_quantity::FLOAT + 20::FLOAT AS k,
+WITH t AS (SELECT l_orderkey AS id, l_linenumber AS n, (l_extendedprice::FLOAT / 1000::FLOAT)::FLOAT AS s, l_quantity::FLOAT + 20::FLOAT AS k,
   l_tax::FLOAT + 0.01::FLOAT AS r, l_discount::FLOAT + 0.1::FLOAT AS vol, l_linenumber::FLOAT AS tm, l_linenumber % 2 AS put FROM lineitem),
-e AS (SELECT *, (r + vol * vol / 2) * tm + {r} AS num, vol * sqrt(tm) AS spread FROM t),
-q AS (SELECT *, num / spread AS d1, num / spread - spread AS d2, k * exp(-r * tm) AS f FROM e),
+e AS (SELECT *, (r + vol * vol * 0.5::FLOAT) * tm + {r} AS num, (vol * sqrt(tm::DOUBLE)::FLOAT)::FLOAT AS spread FROM t),
+q AS (SELECT *, (num / spread)::FLOAT AS d1, ((num / spread)::FLOAT - spread)::FLOAT AS d2, (k * exp((-r * tm)::DOUBLE)::FLOAT)::FLOAT AS f FROM e),
 c AS (SELECT *, {cdf("d1")} AS n1, {cdf("d2")} AS n2 FROM q)
-SELECT id, n, round((CASE WHEN put = 0 THEN s * n1 - f * n2 ELSE f * (1 - n2) - s * (1 - n1) END)::DOUBLE, 2) AS v FROM c"""
+SELECT id, n, round((CASE WHEN put = 0 THEN s * n1 - f * n2 ELSE f * (1::FLOAT - n2) - s * (1::FLOAT - n1) END)::FLOAT::DOUBLE, 2) AS v FROM c"""
 
 
 _TRIPLE = "x + 3::FLOAT + y + z"
