@@ -11,11 +11,13 @@
    alone has go before rows are dealt out by bucket.
 3. In a bucket every line is compared with one leader: candidates grow with the
    rows and not with the square of a group. Two sketch words, two bits of each
-   minimum, rule out pairs that are far apart; of the others the texts are
-   fetched and the exact Jaccard similarity of their shingle sets decides.
+   minimum, rule out pairs that are far apart; of the others the exact Jaccard
+   similarity of their shingle sets, held as 64-bit hashes, decides.
 4. Union-find joins links. In a bucket that still holds several components, the
-   lines outside its largest one are compared with all the others, so every
-   pair of a bucket is either compared or already joined.
+   lines outside its largest one are compared with ``POSTS`` members of that one,
+   which takes in most of a group whose members are near each other but not near
+   the leader. What then is still outside is compared with all the others, so
+   every pair of a bucket is either compared or already joined.
 5. Of each component the occurrence of smallest (doc_id, line number) is kept.
 """
 
@@ -36,6 +38,8 @@ BANDS, ROWS = 13, 4
 #: 0.8 they differ in 10 of 104 on average, with a deviation of 4; unrelated lines differ in about 50.
 SKETCH_BITS = 26
 SIMILARITY = 0.8
+#: Members of a bucket's largest component that the lines outside it are compared with before all are.
+POSTS = 16
 #: Line ids or shared band keys are broadcast to a scan up to this many; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _RUN = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[⺀-\x{{10FFFF}}]|[!-\x{{2E7F}}]{{1,{SHINGLE}}}|[\x00-\x1F\x7F])\s*"
@@ -50,9 +54,9 @@ def shingles(line: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two shingle arrays as sets."""
+    """Jaccard similarity of two arrays of distinct elements."""
     both = F.size(F.array_intersect(a, b))
-    return both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both)
+    return both / (F.size(a) + F.size(b) - both)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -91,14 +95,14 @@ def _alike(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) <= SKETCH_BITS
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``(a, b)`` of distinct pairs whose lines' shingle sets reach ``SIMILARITY``."""
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``(a, b)`` of distinct pairs whose lines' shingle sets ``sets(id, sh)`` reach ``SIMILARITY``."""
+    left = sets.select(F.col("id").alias("a"), F.col("sh").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    # lengths alone rule out most of the pairs that a collision brought together
-    both = both.where(F.least(F.length("la"), F.length("lb")) >= 0.3 * F.greatest(F.length("la"), F.length("lb")))
-    return both.where(similarity(shingles(F.col("la")), shingles(F.col("lb"))) >= SIMILARITY).select("a", "b")
+    # no pair of sets is more alike than the ratio of their sizes
+    both = both.where(F.least(F.size("x"), F.size("y")) >= SIMILARITY * F.greatest(F.size("x"), F.size("y")))
+    return both.where(similarity(F.col("x"), F.col("y")) >= SIMILARITY).select("a", "b")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -110,6 +114,14 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets with several components, but for their leaders: ``root``, and ``main``, the largest one's."""
+    labelled = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = labelled.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("k").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return labelled.join(main.select("k", "main"), "k").where("id <> leader").select("k", "id", "s0", "s1", "root", "main")
+
+
 def line_classes(docs: DataFrame) -> DataFrame:
     """Every line of ``docs(doc_id, text)`` with a character besides white space, and its class.
 
@@ -135,20 +147,25 @@ def line_classes(docs: DataFrame) -> DataFrame:
     near = buckets.where("id <> leader").join(heads, "k").where(_alike("s", "l"))
     near = scratch.save(near.select(*_ordered("id", "leader")).distinct(), "near")
     wanted = scratch.save(buckets.select(F.col("id").alias("h1")).distinct(), "wanted")
-    texts = lines.select("h1", "line").join(_small(wanted), "h1", "left_semi")
-    texts = scratch.save(texts.groupBy(F.col("h1").alias("id")).agg(F.first("line").alias("line")), "texts")
-
-    first = _verified(near, texts)
-    roots = scratch.save(components(first, scratch), "roots")
-    labelled = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("k", "id", "s0", "s1", "leader", F.coalesce("root", "id").alias("root"))
-    labelled = scratch.save(labelled, "labelled")
-    sizes = labelled.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("k").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "main")
-    open_ = scratch.save(labelled.join(main, "k").where("id <> leader"), "open")
+    texts = lines.select("h1", "line").join(_small(wanted), "h1", "left_semi").groupBy(F.col("h1").alias("id")).agg(F.first("line").alias("line"))
+    sets = scratch.save(texts.select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("sh")), "sets")
+
+    roots = scratch.save(components(_verified(near, sets), scratch), "roots")
+    open_ = scratch.save(_open(buckets, roots), "open")
+    posts = F.explode(F.array(*[F.col(f"p{j}") for j in range(POSTS)]))
+    chosen = [F.min(F.struct(F.xxhash64("id", "k", F.lit(j)).alias("o"), "id", "s0", "s1")).alias(f"p{j}") for j in range(POSTS)]
+    ends = open_.where("root = main").groupBy("k").agg(*chosen).select("k", posts.alias("p")).distinct()
+    ends = ends.select("k", F.col("p.id").alias("i2"), F.col("p.s0").alias("s20"), F.col("p.s1").alias("s21"))
+    outer = open_.where("root <> main").select("k", F.col("id").alias("i1"), F.col("s0").alias("s10"), F.col("s1").alias("s11"))
+    middle = scratch.save(outer.join(ends, "k").where(_alike("s1", "s2")).select(*_ordered("i1", "i2")).distinct(), "middle")
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(middle, sets))
+    roots = scratch.save(components(links, scratch), "again")
+
+    open_ = scratch.save(_open(buckets, roots), "last")
     side = lambda df, n: df.select("k", F.col("id").alias(f"i{n}"), F.col("root").alias(f"r{n}"), F.col("s0").alias(f"s{n}0"), F.col("s1").alias(f"s{n}1"))
     both = side(open_.where("root <> main"), 1).join(side(open_, 2), "k").where((F.col("r1") != F.col("r2")) & _alike("s1", "s2"))
-    second = _verified(both.select(*_ordered("i1", "i2")).distinct(), texts)
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
+    far = scratch.save(both.select(*_ordered("i1", "i2")).distinct().join(middle, ["a", "b"], "left_anti"), "far")
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(far, sets))
     roots = scratch.save(components(links, scratch), "components")
 
     place = table.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
