@@ -95,13 +95,17 @@ def _alike(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) <= SKETCH_BITS
 
 
+def _sized(a: str | Column, b: str | Column) -> Column:
+    """Whether sets of these sizes can reach ``SIMILARITY``: it is at most the ratio of the sizes."""
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``(a, b)`` of distinct pairs whose lines' shingle sets ``sets(id, sh)`` reach ``SIMILARITY``."""
     left = sets.select(F.col("id").alias("a"), F.col("sh").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    # no pair of sets is more alike than the ratio of their sizes
-    both = both.where(F.least(F.size("x"), F.size("y")) >= SIMILARITY * F.greatest(F.size("x"), F.size("y")))
+    both = both.where(_sized(F.size("x"), F.size("y")))
     return both.where(similarity(F.col("x"), F.col("y")) >= SIMILARITY).select("a", "b")
 
 
@@ -114,12 +118,13 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets with several components, but for their leaders: ``root``, and ``main``, the largest one's."""
-    labelled = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = labelled.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("k").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return labelled.join(main.select("k", "main"), "k").where("id <> leader").select("k", "id", "s0", "s1", "root", "main")
+def _open(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of buckets with several components, but for their leaders: size ``n`` of the set, ``root``, and ``main``, the largest one's."""
+    nodes = sets.select("id", F.size("sh").alias("n")).join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    labelled = buckets.join(nodes.withColumn("root", F.coalesce("root", "id")), "id")
+    sizes = labelled.groupBy("k", "root").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("k").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return labelled.join(main.select("k", "main"), "k").where("id <> leader").select("k", "id", "n", "s0", "s1", "root", "main")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -143,28 +148,34 @@ def line_classes(docs: DataFrame) -> DataFrame:
     leaders = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("id").bitwiseXOR(salt)).alias("m")).where("n > 1")
     leaders = scratch.save(leaders.select("k", F.col("m").bitwiseXOR(salt).alias("leader")), "leaders")
     buckets = scratch.save(rows.join(_small(leaders), "k"), "buckets")
+    scratch.drop(leaders)
     heads = buckets.where("id = leader").select("k", F.col("s0").alias("l0"), F.col("s1").alias("l1"))
     near = buckets.where("id <> leader").join(heads, "k").where(_alike("s", "l"))
     near = scratch.save(near.select(*_ordered("id", "leader")).distinct(), "near")
     wanted = scratch.save(buckets.select(F.col("id").alias("h1")).distinct(), "wanted")
     texts = lines.select("h1", "line").join(_small(wanted), "h1", "left_semi").groupBy(F.col("h1").alias("id")).agg(F.first("line").alias("line"))
     sets = scratch.save(texts.select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("sh")), "sets")
+    scratch.drop(wanted)
 
     roots = scratch.save(components(_verified(near, sets), scratch), "roots")
-    open_ = scratch.save(_open(buckets, roots), "open")
+    scratch.drop(near)
+    open_ = scratch.save(_open(buckets, roots, sets), "open")
     posts = F.explode(F.array(*[F.col(f"p{j}") for j in range(POSTS)]))
-    chosen = [F.min(F.struct(F.xxhash64("id", "k", F.lit(j)).alias("o"), "id", "s0", "s1")).alias(f"p{j}") for j in range(POSTS)]
+    chosen = [F.min(F.struct(F.xxhash64("id", "k", F.lit(j)).alias("o"), "id", "n", "s0", "s1")).alias(f"p{j}") for j in range(POSTS)]
     ends = open_.where("root = main").groupBy("k").agg(*chosen).select("k", posts.alias("p")).distinct()
-    ends = ends.select("k", F.col("p.id").alias("i2"), F.col("p.s0").alias("s20"), F.col("p.s1").alias("s21"))
-    outer = open_.where("root <> main").select("k", F.col("id").alias("i1"), F.col("s0").alias("s10"), F.col("s1").alias("s11"))
-    middle = scratch.save(outer.join(ends, "k").where(_alike("s1", "s2")).select(*_ordered("i1", "i2")).distinct(), "middle")
+    ends = ends.select("k", F.col("p.id").alias("i2"), F.col("p.n").alias("n2"), F.col("p.s0").alias("s20"), F.col("p.s1").alias("s21"))
+    outer = open_.where("root <> main").select("k", F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("s0").alias("s10"), F.col("s1").alias("s11"))
+    middle = scratch.save(outer.join(ends, "k").where(_alike("s1", "s2") & _sized("n1", "n2")).select(*_ordered("i1", "i2")).distinct(), "middle")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(middle, sets))
     roots = scratch.save(components(links, scratch), "again")
 
-    open_ = scratch.save(_open(buckets, roots), "last")
-    side = lambda df, n: df.select("k", F.col("id").alias(f"i{n}"), F.col("root").alias(f"r{n}"), F.col("s0").alias(f"s{n}0"), F.col("s1").alias(f"s{n}1"))
-    both = side(open_.where("root <> main"), 1).join(side(open_, 2), "k").where((F.col("r1") != F.col("r2")) & _alike("s1", "s2"))
+    scratch.drop(open_)
+    open_ = scratch.save(_open(buckets, roots, sets), "last")
+    scratch.drop(buckets)
+    side = lambda df, n: df.select("k", F.col("id").alias(f"i{n}"), F.col("root").alias(f"r{n}"), F.col("n").alias(f"n{n}"), F.col("s0").alias(f"s{n}0"), F.col("s1").alias(f"s{n}1"))
+    both = side(open_.where("root <> main"), 1).join(side(open_, 2), "k").where((F.col("r1") != F.col("r2")) & _sized("n1", "n2") & _alike("s1", "s2"))
     far = scratch.save(both.select(*_ordered("i1", "i2")).distinct().join(middle, ["a", "b"], "left_anti"), "far")
+    scratch.drop(open_, middle)
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(far, sets))
     roots = scratch.save(components(links, scratch), "components")
 
