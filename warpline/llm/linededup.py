@@ -2,17 +2,17 @@
 
 1. Equal lines meet by a 128-bit hash; map tasks combine them first, so a line
    that a third of the documents share is one row for each task.
-2. A distinct line's shingles are ``SHINGLE`` characters long and start at each
-   word (and at every ``SHINGLE``-th character of a longer run, and at each
-   character of scripts that do without spaces), so they cover the whole line
-   and keep in step after an insertion. ``BANDS * ROWS`` minima over rotations of
+2. A distinct line's shingles are all its runs of ``SHINGLE`` characters, one from
+   each character on; a shorter line is one shingle. An insertion anywhere thus
+   costs ``SHINGLE`` of them at most. ``BANDS * ROWS`` minima over rotations of
    two shingle hashes, computed in generated code, form the band keys. At
    similarity 0.8 a pair shares a band with probability 0.998. Keys that one line
    alone has go before rows are dealt out by bucket.
 3. In a bucket every line is compared with one leader: candidates grow with the
    rows and not with the square of a group. Two sketch words, two bits of each
-   minimum, rule out pairs that are far apart; of the others the exact Jaccard
-   similarity of their shingle sets, held as 64-bit hashes, decides.
+   minimum, rule out pairs that are far apart, and so do the sizes of the shingle
+   sets; of the others the exact Jaccard similarity of the sets, made from the
+   lines' texts pair by pair, decides.
 4. Union-find joins links. In a bucket that still holds several components, the
    lines outside its largest one are compared with ``POSTS`` members of that one,
    which takes in most of a group whose members are near each other but not near
@@ -42,7 +42,7 @@ SIMILARITY = 0.8
 POSTS = 16
 #: Line ids or shared band keys are broadcast to a scan up to this many; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-_RUN = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[⺀-\x{{10FFFF}}]|[!-\x{{2E7F}}]{{1,{SHINGLE}}}|[\x00-\x1F\x7F])\s*"
+_RUN = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\z))."
 _LINE_BASE = 1 << 32
 #: White space that ends of lines lose.
 SPACES = " \t\r\x0b\x0c"
@@ -53,12 +53,6 @@ def shingles(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(_RUN), F.lit(1))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct elements."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, h1, h2, line)`` of every line with a character besides white space."""
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -101,12 +95,12 @@ def _sized(a: str | Column, b: str | Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``(a, b)`` of distinct pairs whose lines' shingle sets ``sets(id, sh)`` reach ``SIMILARITY``."""
-    left = sets.select(F.col("id").alias("a"), F.col("sh").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.where(_sized(F.size("x"), F.size("y")))
-    return both.where(similarity(F.col("x"), F.col("y")) >= SIMILARITY).select("a", "b")
+    """The ``(a, b)`` of distinct pairs whose lines' shingle sets reach ``SIMILARITY``; ``sets(id, line, n)`` has the sets' sizes."""
+    left = sets.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx"))
+    right = sets.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny"))
+    both = pairs.join(left, "a").join(right, "b").where(_sized("nx", "ny"))
+    common = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
+    return both.where(common / (F.col("nx") + F.col("ny") - common) >= SIMILARITY).select("a", "b")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -120,7 +114,7 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def _open(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Members of buckets with several components, but for their leaders: size ``n`` of the set, ``root``, and ``main``, the largest one's."""
-    nodes = sets.select("id", F.size("sh").alias("n")).join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    nodes = sets.select("id", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     labelled = buckets.join(nodes.withColumn("root", F.coalesce("root", "id")), "id")
     sizes = labelled.groupBy("k", "root").agg(F.count(F.lit(1)).alias("rows"))
     main = sizes.groupBy("k").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -154,7 +148,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     near = scratch.save(near.select(*_ordered("id", "leader")).distinct(), "near")
     wanted = scratch.save(buckets.select(F.col("id").alias("h1")).distinct(), "wanted")
     texts = lines.select("h1", "line").join(_small(wanted), "h1", "left_semi").groupBy(F.col("h1").alias("id")).agg(F.first("line").alias("line"))
-    sets = scratch.save(texts.select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("sh")), "sets")
+    sets = scratch.save(texts.select("id", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "sets")
     scratch.drop(wanted)
 
     roots = scratch.save(components(_verified(near, sets), scratch), "roots")
