@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from warpline.llm import linededup
+from warpline.llm import grulm, linededup
+from warpline.plans.scratch import Scratch
 
 
 def _char_shingles(line, k=12):
@@ -41,3 +42,17 @@ def test_lines_inside_long_runs_link_like_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {r.doc_id: r.keep_doc_id for r in linededup.line_classes(docs).collect()}
     assert [got[i] for i in range(len(lines))] == want
+
+
+def test_network_learns_from_every_token(spark, monkeypatch):
+    """More documents than the sample of 1500 once held, the first of them long, in several shards."""
+    monkeypatch.setattr(grulm, "SHARD_TOKENS", 20_000)
+    texts = ["c d " * 20_000] + ["a b " * 4] * 4000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    tokens = sum(len(grulm.words_of(t)) for t in texts)
+    lex, net, total, _ = grulm.lexicon(grulm.count_tokens(docs))
+    ids = [lex.encode(grulm.words_of(t))[1] for t in ("a b " * 4, "c d " * 500)]
+    before = grulm.score(net, ids)
+    assert total == tokens
+    assert grulm.fit(docs, lex, net, total, Scratch(spark, "fit")) == [tokens] * grulm.EPOCHS
+    assert (grulm.score(net, ids) > before).all()

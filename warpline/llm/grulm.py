@@ -5,8 +5,10 @@ the network's vocabulary, in classes of equal size by rank; every other word
 falls into one of a few *shape* classes, inside which the corpus counts decide.
 The output is a softmax over classes and, for vocabulary words, one over the
 class's words, both from the recurrent state. Training is truncated
-backpropagation on a bounded sample of documents, the state carried from window
-to window. Scoring runs many documents side by side and carries each one's state
+backpropagation on all documents that are not held out, the state carried from
+window to window: in each epoch the documents' pieces are dealt out to shards,
+every shard starts from the same parameters, and the mean of theirs, weighted by
+tokens, is the next epoch's start. Scoring runs many documents side by side and carries each one's state
 through to its end, so a text's score is its complete log-likelihood.
 
 Words beyond the ``HEAD`` most frequent never reach the driver or a broadcast:
@@ -15,6 +17,7 @@ they are joined with the counts by a shuffle, where no word is frequent any more
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -35,8 +38,10 @@ END = b"\n"
 HEAD, VOCAB, CLASS_SIZE = 1 << 16, 1024, 32
 SHAPES = 8
 HIDDEN = 32
-#: Documents that training reads, about, whole; and their tokens at most, taken document by document.
-TRAIN_DOCS, TRAIN_TOKENS = 1500, 1_500_000
+#: Tokens of a training shard, until there are SHARDS of them; beyond, shards grow with the corpus.
+SHARD_TOKENS, SHARDS = 1_500_000, 128
+#: Tokens of the pieces that longer documents are cut into for training, and tokens that a shard holds at a time.
+PIECE, BLOCK = 2_000, 256_000
 LANES, WINDOW, EPOCHS, RATE = 64, 20, 2, 0.01
 SCORE_LANES, SCORE_WINDOW = 192, 32
 _FLUSH = 200_000
@@ -160,18 +165,19 @@ def _log_probs(net: Network, s: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(net: Network, docs: list[np.ndarray], epochs: int = EPOCHS, seed: int = 9) -> list[float]:
-    """Adam on windows of truncated backpropagation; the mean loss of each epoch's windows."""
-    rng = np.random.default_rng(seed)
-    lanes = min(LANES, max(1, len(docs)))
-    params = net.params()
-    m1 = [np.zeros_like(p) for p in params]
-    m2 = [np.zeros_like(p) for p in params]
-    step, losses = 0, []
-    hid = net.u.shape[0]
-    total = epochs * sum(map(len, docs)) // (lanes * WINDOW) + 1
-    for _ in range(epochs):
-        ids, target, fresh, valid, _ = _streams(net, [docs[i] for i in rng.permutation(len(docs))], lanes)
+class Trainer:
+    """Adam on windows of truncated backpropagation; the rate falls over ``total`` steps, ``done`` of them made before."""
+
+    def __init__(self, net: Network, total: int, done: int = 0) -> None:
+        self.net, self.total, self.done, self.step = net, total, done, 0
+        self.m1 = [np.zeros_like(p) for p in net.params()]
+        self.m2 = [np.zeros_like(p) for p in net.params()]
+
+    def run(self, docs: list[np.ndarray]) -> tuple[float, int]:
+        """One pass over ``docs``; the loss and the number of tokens."""
+        net, hid = self.net, self.net.u.shape[0]
+        lanes = min(LANES, max(1, len(docs)))
+        ids, target, fresh, valid, _ = _streams(net, docs, lanes)
         h = np.zeros((lanes, hid), dtype=np.float32)
         loss, seen = 0.0, 0
         for a in range(0, len(ids), WINDOW):
@@ -227,14 +233,25 @@ def train(net: Network, docs: list[np.ndarray], epochs: int = EPOCHS, seed: int
             grads = [g_x, g_u, flat.sum(axis=0), g_wc, g_bc, g_wo, g_bo]
             norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
             scale = min(1.0, 1.0 / norm) if norm else 1.0
-            step += 1
-            rate = RATE * max(0.1, 1 - step / total) * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for p, g, a1, a2 in zip(params, grads, m1, m2):
+            self.step += 1
+            rate = RATE * max(0.1, 1 - (self.done + self.step) / self.total) * math.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+            for p, g, a1, a2 in zip(net.params(), grads, self.m1, self.m2):
                 g = g * scale
                 a1 += 0.1 * (g - a1)
                 a2 += 0.001 * (g * g - a2)
                 p -= (rate * a1 / (np.sqrt(a2) + 1e-8)).astype(np.float32)
             h = last
+        return loss, seen
+
+
+def train(net: Network, docs: list[np.ndarray], epochs: int = EPOCHS, seed: int = 9) -> list[float]:
+    """Epochs of ``Trainer`` over documents in memory; the mean loss of each."""
+    rng = np.random.default_rng(seed)
+    lanes = min(LANES, max(1, len(docs)))
+    trainer = Trainer(net, epochs * sum(map(len, docs)) // (lanes * WINDOW) + 1)
+    losses = []
+    for _ in range(epochs):
+        loss, seen = trainer.run([docs[i] for i in rng.permutation(len(docs))])
         losses.append(loss / max(1, seen))
     return losses
 
@@ -357,28 +374,90 @@ def lexicon(counts: DataFrame) -> tuple[Lexicon, Network, int, int]:
     return lex, net, total, distinct
 
 
-def sample(docs: DataFrame, lex: Lexicon, n_docs: int = TRAIN_DOCS) -> list[np.ndarray]:
-    """Network ids of about ``n_docs`` whole documents, by a hash of doc_id."""
-    total = docs.count()
-    if not total:
-        return []
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("grulm")), F.lit(1 << 24)) < F.lit(int(min(1.0, n_docs / total) * (1 << 24)) + 1)
+def pieces(docs: DataFrame, lex: Lexicon, shards: int) -> DataFrame:
+    """``(shard, place, ids)``: network ids of all ``docs(doc_id, text)`` in pieces, in an order that a hash makes."""
     sent = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [sent.value.encode(words_of(t.as_py()))[1] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    rows = docs.where(draw).mapInArrow(run, "doc_id long, ids array<int>").limit(2 * n_docs).toArrow()
-    got = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, len(r[1]), r[1]))
-    out, size = [], 0
-    for _, ids in got:
-        if size and size + len(ids) > TRAIN_TOKENS:
-            break
-        out.append(np.array(ids, dtype=np.int32))
-        size += len(ids)
-    return out
+            out: list[tuple] = []
+            held = 0
+            for key, t in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = sent.value.encode(words_of(t.as_py()))[1].astype(np.int16)
+                for k in range(0, len(ids), PIECE):
+                    out.append((key, k, ids[k : k + PIECE]))
+                    held += len(out[-1][2])
+                    if held > BLOCK:
+                        yield batch(out)
+                        out, held = [], 0
+            if out:
+                yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        keys, at, ids = zip(*out)
+        cols = [pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.list_(pa.int16()))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "ids"])
+
+    cut = docs.mapInArrow(run, "doc_id long, at long, ids array<short>")
+    place = F.xxhash64("doc_id", "at", "ids", F.lit("grulm"))
+    return cut.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.xxhash64(place, F.lit(1)).alias("place"), "ids")
+
+
+def _round(rows: DataFrame, net: Network, shards: int, total: int, done: int) -> DataFrame:
+    """``(shard, tokens, params)`` after one pass of every shard over its pieces, all from ``net``."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own, tokens, block, held = None, None, 0, [], 0
+
+        def ended() -> pa.RecordBatch:
+            params = np.concatenate([p.ravel() for p in own.net.params()]).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([tokens], pa.int64()), pa.array([params.tobytes()], pa.binary())], names=["shard", "tokens", "params"])
+
+        for b in batches:
+            for s, ids in zip(b.column(0).to_pylist(), b.column(1)):
+                if s != shard or held > BLOCK:
+                    if block:
+                        tokens += own.run(block)[1]
+                    block, held = [], 0
+                if s != shard:
+                    if own is not None:
+                        yield ended()
+                    shard, own, tokens = s, Trainer(copy.deepcopy(sent.value), total, done), 0
+                block.append(ids.values.to_numpy().astype(np.int32))
+                held += len(ids)
+        if own is not None:
+            tokens += own.run(block)[1]
+            yield ended()
+
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "ids")
+    return dealt.mapInArrow(run, "shard int, tokens long, params binary")
+
+
+def fit(docs: DataFrame, lex: Lexicon, net: Network, tokens: int, scratch: Scratch) -> list[int]:
+    """Train ``net`` on all ``docs(doc_id, text)`` of ``tokens`` tokens; the tokens that each epoch has learned from.
+
+    The driver holds one shard's parameters at a time besides their sum.
+    """
+    shards = min(SHARDS, max(1, -(-tokens // SHARD_TOKENS)))
+    rows = scratch.save(pieces(docs, lex, shards), "pieces")
+    steps = tokens // (shards * LANES * WINDOW) + 1
+    learned = []
+    for r in range(EPOCHS):
+        table = scratch.save(_round(rows, net, shards, EPOCHS * steps, r * steps), f"round{r}")
+        params = net.params()
+        mean, seen = np.zeros(sum(p.size for p in params)), 0
+        for row in table.orderBy("shard").toLocalIterator():
+            mean += row["tokens"] * np.frombuffer(row["params"], dtype=np.float32).astype(np.float64)
+            seen += row["tokens"]
+        if seen:
+            cuts = np.cumsum([p.size for p in params])[:-1]
+            for p, v in zip(params, np.split(mean / seen, cuts)):
+                p[...] = v.reshape(p.shape)
+        learned.append(seen)
+        scratch.drop(table)
+    scratch.drop(rows)
+    return learned
 
 
 def language_model_scores(docs: DataFrame) -> DataFrame:
@@ -386,7 +465,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score. Rows whose crc32(doc_id) mod 7 is 2 are held out; counts come from
-    all others, and the network learns from a bounded sample of those. A null
+    all others, and the network learns from all of those too. A null
     text counts as empty and is the end alone. Without training rows all words
     are unknown. Repeated rows give repeated results; an empty table gives an
     empty one; other columns are ignored.
@@ -397,7 +476,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     learn = rows.where("not held_out")
     counts = scratch.save(count_tokens(learn), "counts")
     lex, net, total, distinct = lexicon(counts)
-    train(net, sample(learn.select("doc_id", "text"), lex))
+    fit(learn.select("doc_id", "text"), lex, net, total, scratch)
     sent = docs.sparkSession.sparkContext.broadcast((lex, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
