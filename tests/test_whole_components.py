@@ -18,5 +18,5 @@ def test_components_of_all_orders_equal_union_find(spark, sf):
     for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").collect():
         a, b = sorted((find(r.o_orderkey), find(r.o_orderkey + 1 + r.o_custkey % 3)))
         parent[b] = a
-    got = {r.id: r.label for r in entry.queries()["F5_connected_components_all"](spark, sf).collect()}
+    got = {r.id: r.label for r in entry.queries()["F5_connected_components"](spark, sf).collect()}
     assert got == {x: find(x) for x in list(parent)}

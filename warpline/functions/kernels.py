@@ -143,30 +143,38 @@ def kernel(name: str):
     return lambda *a: f(*a).cast(ddl)
 
 
-def normal_cdf(x: Column) -> Column:
-    """The normal distribution function by its usual five-term polynomial, in 32 bits."""
+def _as(bits: int):
+    """The cast that results of each step take: to 32 bits, or to 64."""
+    return f32 if bits == 32 else lambda c: F.lit(c).cast("double")
+
+
+def normal_cdf(x: Column, bits: int = 64) -> Column:
+    """The normal distribution function by its usual five-term polynomial."""
+    num = _as(bits)
     #: The polynomial's coefficients.
     terms = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
-    k = f32(f32(1) / (f32(1) + f32(0.2316419) * F.abs(x)))
+    k = num(num(1) / (num(1) + num(0.2316419) * F.abs(x)))
     powers = [k]
     for _ in terms[1:]:
-        powers.append(f32(powers[-1] * k))
-    rest = powers[1] * f32(terms[1])
+        powers.append(num(powers[-1] * k))
+    rest = powers[1] * num(terms[1])
     for p, c in list(zip(powers, terms))[2:]:
-        rest = f32(rest + p * f32(c))
-    poly = f32(rest + k * f32(terms[0]))
-    density = f32(F.exp((f32(-0.5) * x * x).cast("double"))) * f32(0.39894228040143270286)
-    upper = f32(f32(1) - poly * density)
-    return f32(F.when(x < 0, f32(1) - upper).otherwise(upper))
-
-
-def option_price(spot: Column, strike: Column, rate: Column, vol: Column, time: Column, put: Column, log_ratio: bool = False) -> Column:
-    """Price of a European option in 32 bits; ``log_ratio`` takes ln(S / K) where the kernel as given takes S / K."""
-    ratio = f32(spot / strike)
-    term = f32(F.ln(ratio)) if log_ratio else ratio
-    spread = f32(vol * f32(F.sqrt(time)))
-    d1 = f32(((rate + vol * vol * f32(0.5)) * time + term) / spread)
-    d2 = f32(d1 - spread)
-    n1, n2 = normal_cdf(d1), normal_cdf(d2)
-    future = f32(strike * f32(F.exp((-rate * time).cast("double"))))
-    return f32(F.when(put == 0, spot * n1 - future * n2).otherwise(future * (f32(1) - n2) - spot * (f32(1) - n1)))
+        rest = num(rest + p * num(c))
+    poly = num(rest + k * num(terms[0]))
+    density = num(F.exp((num(-0.5) * x * x).cast("double"))) * num(0.39894228040143270286)
+    upper = num(num(1) - poly * density)
+    return num(F.when(x < 0, num(1) - upper).otherwise(upper))
+
+
+def option_price(spot: Column, strike: Column, rate: Column, vol: Column, time: Column, put: Column, log_ratio: bool = False, bits: int = 64) -> Column:
+    """Price of a European option from 32-bit inputs, in steps of 64 or 32 bits; ``log_ratio`` takes ln(S / K) where the kernel as given takes S / K."""
+    num = _as(bits)
+    spot, strike, rate, vol, time = (num(c) for c in (spot, strike, rate, vol, time))
+    ratio = num(spot / strike)
+    term = num(F.ln(ratio)) if log_ratio else ratio
+    spread = num(vol * num(F.sqrt(time)))
+    d1 = num(((rate + vol * vol * num(0.5)) * time + term) / spread)
+    d2 = num(d1 - spread)
+    n1, n2 = normal_cdf(d1, bits), normal_cdf(d2, bits)
+    future = num(strike * num(F.exp((-rate * time).cast("double"))))
+    return num(F.when(put == 0, spot * n1 - future * n2).otherwise(future * (num(1) - n2) - spot * (num(1) - n1)))

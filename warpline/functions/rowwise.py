@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -12,99 +13,171 @@ from pyspark.sql import DataFrame
 EXTENSION_FIELDS = ["q_beg", "r_beg", "q_end", "r_end", "score", "true_score", "width"]
 
 
-def extend(query: list[int], target: list[int], scores: list[list[int]], o_del: int, e_del: int, o_ins: int, e_ins: int, band: int, bonus: int, zdrop: int, h0: int) -> tuple[int, int, int, int, int, int]:
-    """Banded affine-gap extension from a seed of score ``h0``.
+@dataclass(frozen=True)
+class Penalties:
+    """Costs of opening and of each symbol of a deletion and an insertion, the bonus at the query's end, and the drop that ends an extension (0: none)."""
 
-    Rows are targets, columns queries. ``h[j]`` holds the score one row up and
-    one column left of column j, ``e[j]`` the best score ending in a deletion.
-    Returns (best score, its query end, its target end, the target end of the
-    best path to the query's end, that path's score, largest distance from the
-    diagonal of an improvement).
+    open_del: int = 6
+    each_del: int = 1
+    open_ins: int = 6
+    each_ins: int = 1
+    bonus: int = 5
+    drop: int = 100
+
+
+@dataclass
+class Extended:
+    """Results of extensions, one entry for each: the best score and where it ends, and the same for paths to the query's end."""
+
+    score: np.ndarray
+    q_end: np.ndarray
+    t_end: np.ndarray
+    whole_t_end: np.ndarray
+    whole_score: np.ndarray
+    off: np.ndarray  # farthest from the diagonal that the best score rose
+
+
+def _padded(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(r) for r in rows], dtype=np.int64)
+    out = np.full((len(rows), max(1, size.max(initial=0))), 4, dtype=np.int64)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out, size
+
+
+def extend_all(queries: list[list[int]], targets: list[list[int]], scores: np.ndarray, cost: Penalties, width: np.ndarray, seed: np.ndarray) -> Extended:
+    """Banded affine-gap extensions of many seeds side by side, one target symbol a step.
+
+    Within a step the score of a cell is the best of: its diagonal neighbour and
+    the symbols' score, a deletion that goes on, and an insertion. Insertions from
+    all cells to the left are one running maximum of ``score + each * column``.
+    A seed's live columns ``[low, high)`` follow the band and the cells above zero
+    around the step's best one; it is finished where no cell is above zero or
+    the score has dropped too far.
     """
-    n = len(query)
-    h, e = [0] * (n + 2), [0] * (n + 2)
-    h[0] = h0
-    if n:
-        h[1] = max(0, h0 - o_ins - e_ins)
-        for j in range(2, n + 1):
-            if h[j - 1] <= e_ins:
-                break
-            h[j] = h[j - 1] - e_ins
-    top = max(0, max(map(max, scores)))
-    for opening, each in ((o_ins, e_ins), (o_del, e_del)):
-        band = min(band, max(1, int((n * top + bonus - opening) / each + 1.0)))
-    best, best_row, best_col, end_row, end_score, off = h0, -1, -1, -1, -1, 0
-    lo, hi = 0, n
-    for row, symbol in enumerate(target):
-        lo, hi = max(lo, row - band), min(hi, row + band + 1, n)
-        left = max(0, h0 - o_del - e_del * (row + 1))
-        ins = peak = 0
-        at = -1
-        gains = scores[symbol]
-        for j in range(lo, hi):
-            score = max(h[j] + gains[query[j]], e[j], ins)
-            h[j], left = left, score
-            if score >= peak:
-                peak, at = score, j
-            e[j] = max(e[j] - e_del, score - o_del - e_del, 0)
-            ins = max(ins - e_ins, score - o_ins - e_ins, 0)
-        h[hi], e[hi] = left, 0
-        if max(lo, hi) == n and left >= end_score:
-            end_row, end_score = row, left
-        if not peak:
+    q, n = _padded(queries)
+    t, m = _padded(targets)
+    count, columns = len(n), q.shape[1]
+    at = np.arange(columns + 1)
+    top = max(0, int(scores.max()))
+    band = width.copy()
+    for opening, each in ((cost.open_ins, cost.each_ins), (cost.open_del, cost.each_del)):
+        band = np.minimum(band, np.maximum(1, ((n * top + cost.bonus - opening) / each + 1.0).astype(np.int64)))
+    diagonal = np.maximum(0, seed[:, None] - cost.open_ins - cost.each_ins * at)
+    diagonal[:, 0] = seed
+    deletion = np.zeros_like(diagonal)
+    low, high = np.zeros(count, dtype=np.int64), n.copy()
+    found = Extended(seed.copy(), *(np.full(count, -1, dtype=np.int64) for _ in range(4)), np.zeros(count, dtype=np.int64))
+    live = np.flatnonzero(m > 0)
+    for step in range(t.shape[1]):
+        live = live[m[live] > step]
+        if not len(live):
             break
-        if peak > best:
-            best, best_row, best_col = peak, row, at
-            off = max(off, abs(at - row))
-        elif zdrop > 0:
-            drift = (row - best_row) - (at - best_col)
-            # the insertion penalty belongs to the inner test alone, as in the kernel that defines this
-            if drift > 0 and (best - peak - drift * e_del > zdrop or best - peak + drift * e_ins > zdrop):
-                break
-        j = at
-        while j >= lo and h[j] > 0:
-            j -= 1
-        lo_next = j + 1
-        j = at + 2
-        while j <= hi and h[j] > 0:
-            j += 1
-        lo, hi = lo_next, j
-    return best, best_col + 1, best_row + 1, end_row + 1, end_score, off
-
-
-def _side(query, target, scores, gaps, width, clip, zdrop, start, known, tries):
-    """Extension on one side with a doubling band: (score, query end, target end, trusted score, band)."""
-    score, used = known, width
-    got = (known, -1, -1, -1, -1, -1)
+        lo, hi = np.maximum(low[live], step - band[live]), np.minimum(np.minimum(high[live], step + band[live] + 1), n[live])
+        inside = (at[:-1] >= lo[:, None]) & (at[:-1] < hi[:, None])
+        down = deletion[live, :-1]
+        match = np.maximum(diagonal[live, :-1] + scores[t[live, step][:, None], q[live]], down)
+        source = np.where(inside, match - cost.open_ins + cost.each_ins * at[:-1], np.iinfo(np.int32).min)
+        reach = np.maximum.accumulate(source, axis=1)
+        insertion = np.zeros_like(match)
+        insertion[:, 1:] = np.maximum(0, reach[:, :-1] - cost.each_ins * at[1:-1])
+        cell = np.where(inside, np.maximum(match, insertion), -1)
+
+        peak = np.maximum(cell.max(axis=1), 0)
+        where = np.where(hi > lo, columns - 1 - cell[:, ::-1].argmax(axis=1), -1)
+        border = np.maximum(0, seed[live] - cost.open_del - cost.each_del * (step + 1))
+        rows = np.arange(len(live))
+        final = np.where(hi > lo, cell[rows, np.maximum(hi - 1, 0)], border)
+        shifted = diagonal[live]
+        shifted[:, 1:] = np.where(inside, cell, shifted[:, 1:])
+        begins = np.where(hi > lo, lo, hi)
+        shifted[rows, begins] = border
+        diagonal[live] = shifted
+        later = deletion[live]
+        later[:, :-1] = np.where(inside, np.maximum(np.maximum(down - cost.each_del, cell - cost.open_del - cost.each_del), 0), down)
+        later[rows, hi] = 0
+        deletion[live] = later
+
+        ends = (np.maximum(lo, hi) == n[live]) & (final >= found.whole_score[live])
+        found.whole_t_end[live[ends]], found.whole_score[live[ends]] = step, final[ends]
+        up = peak > found.score[live]
+        drift = (step - found.t_end[live]) - (where - found.q_end[live])
+        lost = found.score[live] - peak
+        # fixed rule: the cost of an insertion is added to what is lost, that of a deletion taken from it
+        dropped = ~up & (cost.drop > 0) & (drift > 0) & ((lost - drift * cost.each_del > cost.drop) | (lost + drift * cost.each_ins > cost.drop))
+        risen = live[up]
+        found.score[risen], found.t_end[risen], found.q_end[risen] = peak[up], step, where[up]
+        found.off[risen] = np.maximum(found.off[risen], np.abs(where[up] - step))
+
+        empty = shifted <= 0
+        before = empty & (at >= lo[:, None]) & (at <= where[:, None])
+        after = empty & (at >= where[:, None] + 2) & (at <= hi[:, None])
+        low[live] = np.where(before.any(axis=1), columns + 1 - before[:, ::-1].argmax(axis=1), lo)
+        high[live] = np.where(after.any(axis=1), after.argmax(axis=1), hi + 1)
+        live = live[(peak > 0) & ~dropped]
+    found.q_end += 1
+    found.t_end += 1
+    found.whole_t_end += 1
+    return found
+
+
+def _widening(queries: list[list[int]], targets: list[list[int]], scores: np.ndarray, cost: Penalties, width: int, seed: np.ndarray, known: np.ndarray, tries: int) -> tuple[Extended, np.ndarray]:
+    """Extensions, and the bands they took: a band is doubled while that changes the score and the path nears its edge."""
+    bands = np.full(len(seed), width, dtype=np.int64)
+    best, found = known.copy(), None
+    left = np.arange(len(seed))
     for k in range(tries):
-        before, used = score, width << k
-        got = extend(query, target, scores, *gaps, used, clip, zdrop, start)
-        score = got[0]
-        if score == before or got[5] < (used >> 1) + (used >> 2):
+        if not len(left):
             break
-    best, q_end, t_end, full_t_end, full_score, _ = got
-    if full_score <= 0 or full_score <= score - clip:
-        return score, q_end, t_end, score, used, False
-    return score, len(query), full_t_end, full_score, used, True
-
-
-def seed_extension(left_q, left_r, right_q, right_r, q_beg: int, h0: int, score: int, scores, gaps=(6, 1, 6, 1), width: int = 8, clip5: int = 5, clip3: int = 5, zdrop: int = 100, tries: int = 2) -> tuple[int, ...]:
-    """A seed extended to the left, then to the right: ``EXTENSION_FIELDS``."""
-    out = {"q_beg": 0, "r_beg": 0, "q_end": len(right_q), "r_end": 0, "score": -1, "true_score": score}
-    w0 = w1 = width
-    if left_q:
-        score, q, r, trusted, w0, whole = _side(left_q, left_r, scores, gaps, width, clip5, zdrop, h0, score, tries)
-        out |= {"q_beg": 0 if whole else q_beg - q, "r_beg": -r, "score": score, "true_score": trusted}
-    if right_q:
-        start = score
-        score, q, r, trusted, w1, _ = _side(right_q, right_r, scores, gaps, width, clip3, zdrop, start, score, tries)
-        out |= {"q_end": q, "r_end": r, "score": score, "true_score": out["true_score"] + trusted - start}
-    return (*out.values(), max(w0, w1))
-
-
-def match_scores(match: int = 1, mismatch: int = -4) -> list[list[int]]:
+        bands[left] = used = width << k
+        got = extend_all([queries[i] for i in left], [targets[i] for i in left], scores, cost, bands[left], seed[left])
+        if found is None:
+            found = got
+        else:
+            for mine, new in zip(vars(found).values(), vars(got).values()):
+                mine[left] = new
+        more = (got.score != best[left]) & (got.off >= (used >> 1) + (used >> 2))
+        best[left] = got.score
+        left = left[more]
+    return found, bands
+
+
+def seed_extensions(left: tuple[list, list], right: tuple[list, list], q_beg: np.ndarray, h0: int, score: int, scores: np.ndarray, cost: Penalties = Penalties(), width: int = 8, tries: int = 2) -> dict[str, np.ndarray]:
+    """Seeds extended to the left, then to the right: ``EXTENSION_FIELDS``; ``left`` and ``right`` are (queries, targets).
+
+    Where the path to the query's end scores within the bonus of the best one,
+    the seed reaches that end, and it counts for ``true_score``.
+    """
+    count = len(q_beg)
+    whole = lambda v: np.full(count, v, dtype=np.int64)
+    out = {"q_beg": whole(0), "r_beg": whole(0), "q_end": np.array([len(x) for x in right[0]], dtype=np.int64), "r_end": whole(0), "score": whole(-1), "true_score": whole(score)}
+    widest, now = whole(width), whole(score)
+    for side, (queries, targets) in enumerate((left, right)):
+        on = np.array([i for i, x in enumerate(queries) if len(x)], dtype=np.int64)
+        if not len(on):
+            continue
+        start = now[on] if side else whole(h0)[on]
+        got, bands = _widening([queries[i] for i in on], [targets[i] for i in on], scores, cost, width, start, now[on], tries)
+        reached = (got.whole_score > 0) & (got.whole_score > got.score - cost.bonus)
+        t_end, trusted = np.where(reached, got.whole_t_end, got.t_end), np.where(reached, got.whole_score, got.score)
+        if side:
+            out["q_end"][on] = np.where(reached, [len(queries[i]) for i in on], got.q_end)
+            out["r_end"][on] = t_end
+            out["true_score"][on] += trusted - start
+        else:
+            out["q_beg"][on] = np.where(reached, 0, q_beg[on] - got.q_end)
+            out["r_beg"][on] = -t_end
+            out["true_score"][on] = trusted
+        now[on] = out["score"][on] = got.score
+        widest[on] = np.maximum(widest[on], bands)
+    return out | {"width": widest}
+
+
+def match_scores(match: int = 1, mismatch: int = -4) -> np.ndarray:
     """Scores of five symbols, the last of which is unknown and costs 1 against all."""
-    return [[-1 if 4 in (i, j) else match if i == j else mismatch for j in range(5)] for i in range(5)]
+    out = np.where(np.eye(5, dtype=bool), match, mismatch).astype(np.int64)
+    out[4, :] = out[:, 4] = -1
+    return out
 
 
 def extensions(df: DataFrame, id_: str) -> DataFrame:
@@ -114,9 +187,9 @@ def extensions(df: DataFrame, id_: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [seed_extension(*r, q_beg=len(r[0]), h0=10, score=10, scores=scores) for r in zip(*(b.column(i).to_pylist() for i in range(1, 5)))]
-            out = list(zip(*rows)) or [()] * len(EXTENSION_FIELDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in out)], names=[id_, *EXTENSION_FIELDS])
+            lq, lr, rq, rr = (b.column(i).to_pylist() for i in range(1, 5))
+            out = seed_extensions((lq, lr), (rq, rr), np.array([len(x) for x in lq], dtype=np.int64), h0=10, score=10, scores=scores)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[f], pa.int64()) for f in EXTENSION_FIELDS)], names=[id_, *EXTENSION_FIELDS])
 
     kind = df.schema[id_].dataType.simpleString()
     return df.select(*cols).mapInArrow(run, f"{id_} {kind}, " + ", ".join(f"{f} bigint" for f in EXTENSION_FIELDS))

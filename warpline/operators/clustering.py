@@ -57,12 +57,12 @@ def _partials(df: DataFrame, vec: str, f) -> DataFrame:
             x = matrix(b.column(0))
             if len(x):
                 cid, n, weight, sums = f(x)
-                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int32()), pa.array(n, pa.int64()), pa.array(list(np.c_[weight, sums]), pa.list_(pa.float64()))], names=["cid", "n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int32()), pa.array(list(np.c_[n, weight, sums]), pa.list_(pa.float64()))], names=["cid", "v"])
 
-    part = df.select(F.col(vec).cast("array<double>").alias(vec)).where(F.col(vec).isNotNull()).mapInArrow(run, "cid int, n long, v array<double>")
-    sums = vector_sum_by_key(part.select("cid", "v"), ["cid"], "v")
-    counts = part.groupBy("cid").agg(F.sum("n").alias("n"))
-    return sums.join(counts, "cid")
+    part = df.select(F.col(vec).cast("array<double>").alias(vec)).where(F.col(vec).isNotNull()).mapInArrow(run, "cid int, v array<double>")
+    # the count goes with the vector, so that one aggregation does: doubles hold it exactly below 2**53
+    sums = vector_sum_by_key(part, ["cid"], "v")
+    return sums.select("cid", F.slice("v", 2, F.size("v") - 1).alias("v"), F.get("v", 0).cast("long").alias("n"))
 
 
 def kmeans_step(df: DataFrame, centres: list[list[float]], vec: str, engine: str = "arrow") -> DataFrame:

@@ -43,6 +43,12 @@ def zip_with_index(df: DataFrame, order: list[str | Column], index: str = "idx")
     return joined.withColumn(index, F.col("_first") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_first", "_mid")
 
 
+def zip_rows(left: DataFrame, by_left: list[str | Column], right: DataFrame, by_right: list[str | Column]) -> DataFrame:
+    """The rows of two tables side by side, place by place in their own orders; both have the same number of rows and no common column."""
+    one, two = zip_with_index(left, by_left, "_place"), zip_with_index(right, by_right, "_place")
+    return one.join(two, "_place").drop("_place")
+
+
 def take_sample(df: DataFrame, n: int, seed: int, key: list[str], replacement: bool = False) -> DataFrame:
     """``n`` rows in an order fixed by a hash of ``key`` and ``seed``: the same rows on every run.
 

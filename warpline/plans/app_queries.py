@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from warpline.functions.kernels import KERNELS
@@ -119,21 +119,39 @@ def b20_zip(spark, d):
     return _long(keyed.zip_with_index(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]), "idx")
 
 
+def b18_collect(spark, d):
+    """The 25 nations, a fixed table, brought to the driver and back."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return spark.createDataFrame(n.collect(), n.schema)
+
+
 def b21_repartition(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey").repartition(8)
+    """Rows and non-empty partitions after an even deal into 8."""
+    rows = table(spark, d, "orders").select("o_orderkey").repartition(8).select(F.spark_partition_id().alias("part"))
+    return rows.agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n"))
 
 
 def b22_hash(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey").repartition(8, "s_suppkey")
+    """Whether a key's rows all lie in the partition of its hash."""
+    rows = table(spark, d, "lineitem").select("l_suppkey").repartition(8, "l_suppkey").withColumn("part", F.spark_partition_id())
+    return rows.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("part") == F.pmod(F.hash("l_suppkey"), F.lit(8))).alias("own"))
 
 
 def b23_ranges(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey").repartitionByRange(8, "s_suppkey")
+    """Whether 8 range partitions hold rising ranges of keys; eight rows are compared."""
+    rows = table(spark, d, "orders").select("o_orderkey").repartitionByRange(8, "o_orderkey")
+    parts = rows.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.count(F.lit(1)).alias("n"))
+    before = F.lag("hi").over(Window.orderBy("part"))
+    rising = parts.select("n", F.coalesce(before < F.col("lo"), F.lit(True)).alias("up"))
+    return rising.agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.bool_and("up").alias("rising"))
 
 
 def b24_cache(spark, d):
+    """Two figures of one cached table, which is released after its use."""
     o = table(spark, d, "orders").select("o_custkey").cache()
-    return o.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"))
+    n, customers = o.count(), o.agg(F.count_distinct("o_custkey")).first()[0]
+    o.unpersist()
+    return spark.createDataFrame([(n, customers)], "n long, customers long")
 
 
 def b25_broadcast(spark, d):
@@ -197,17 +215,10 @@ def f4_pagerank(spark, d):
     return out.select("id", F.round("rank", 6).alias("rank"), F.col("links").cast("long").alias("links"))
 
 
-def _components(o: DataFrame) -> DataFrame:
-    return graph.connected_components(o.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 3).alias("b")))
-
-
 def f5_components(spark, d):
-    return _components(table(spark, d, "orders").where("o_custkey % 4 = 0"))
-
-
-def f5_components_all(spark, d):
-    """Edges of all orders: one long chain of ids, too long for the recursive SQL."""
-    return _components(table(spark, d, "orders"))
+    """Edges of all orders: one long chain of ids, too long for a recursive SQL."""
+    o = table(spark, d, "orders")
+    return graph.connected_components(o.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 3).alias("b")))
 
 
 def _bodies(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -254,6 +265,26 @@ def e43_runs(spark, d):
 # --- G: dataset preparation
 
 
+def _files(spark, df, n, label):
+    """Rows and files of a table written in ``n`` parts."""
+    kept = Scratch(spark, label).save(df.repartition(n), "parts").select(F.input_file_name().alias("file"))
+    return kept.agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n"))
+
+
+def g2_split(spark, d):
+    return _files(spark, table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 6, "split")
+
+
+def g12_zip(spark, d):
+    """Customers by key beside their names by name, place by place."""
+    c = table(spark, d, "customer")
+    return keyed.zip_rows(c.select("c_custkey"), ["c_custkey"], c.select("c_name"), [F.desc("c_name")])
+
+
+def g14_repartition(spark, d):
+    return _files(spark, vectors(spark, d), 5, "repartition")
+
+
 def g1_rows(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
     return _exploded(etl.rows_to_vectors(p, "p_partkey"), "v")
@@ -372,11 +403,6 @@ def _pagerank_sql() -> str:
     return ", ".join(out) + f" SELECT id, round(rank, 6) AS rank, links FROM n{ROUNDS}"
 
 
-_COMPONENTS = """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 1 + o_custkey % 3 AS b FROM orders WHERE o_custkey % 4 = 0),
-sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS id, a AS label FROM sides UNION SELECT sides.b, r.label FROM r JOIN sides ON sides.a = r.id)
-SELECT id, min(label) AS label FROM r GROUP BY id"""
-
 _ACCEL = """WITH p AS (SELECT p_partkey AS id, (p_partkey % 97)::FLOAT AS x, p_size::FLOAT AS y, (p_partkey % 31)::FLOAT AS z, (p_size % 3)::FLOAT AS mass FROM part),
 d AS (SELECT t.id, a.mass, t.x - a.x AS x, t.y - a.y AS y, t.z - a.z AS z FROM p t JOIN p a ON a.id BETWEEN t.id + 1 AND t.id + 8),
 s AS (SELECT *, x * x + y * y + z * z AS d2 FROM d),
@@ -400,7 +426,6 @@ _CROP = """WITH i AS (SELECT p_partkey AS id, 2 + p_size % 3 AS w, repeat(md5(p_
 SELECT id, pos, ('0x' || substr(h, 2 * (((pos // 6) * w + pos // 3 % 2) * 3 + 2 - pos % 3) + 1, 2))::INTEGER::DOUBLE AS x FROM p"""
 
 _EMB = "SELECT {}unnest(range(64)) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings"
-_SUPPLIERS = "SELECT s_suppkey FROM supplier"
 
 #: name -> (query, DuckDB SQL or None)
 QUERIES: dict = {
@@ -421,12 +446,13 @@ QUERIES: dict = {
     "B16_join": (b16_join, "SELECT c_custkey, o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey"),
     "B17_count": (b17_count, "SELECT count(*) AS n FROM lineitem"),
     "B18_top": (b18_top, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"),
+    "B18_collect": (b18_collect, "SELECT n_nationkey, n_name FROM nation"),
     "B19_take_sample": (b19_sample, None),
     "B19_take_sample_replaced": (b19_sample_again, None),
     "B20_zip_with_index": (b20_zip, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders"),
-    "B21_repartition": (b21_repartition, _SUPPLIERS),
-    "B22_hash_partitions": (b22_hash, _SUPPLIERS),
-    "B23_range_partitions": (b23_ranges, _SUPPLIERS),
+    "B21_repartition": (b21_repartition, "SELECT 8::BIGINT AS parts, count(*) AS n FROM orders"),
+    "B22_hash_partitions": (b22_hash, "SELECT l_suppkey, count(*) AS n, true AS own FROM lineitem GROUP BY l_suppkey"),
+    "B23_range_partitions": (b23_ranges, "SELECT 8::BIGINT AS parts, count(*)::BIGINT AS n, true AS rising FROM orders"),
     "B24_cache": (b24_cache, "SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders"),
     "B25_broadcast": (b25_broadcast, "SELECT c_custkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey"),
     "B26_partitions": (b26_partitions, "SELECT 4::BIGINT AS n"),
@@ -438,13 +464,13 @@ QUERIES: dict = {
     "F3_genetic_fitness": (f3_fitness, _FITNESS),
     "F3_genetic_clustering": (f3_genetic, None),
     "F4_pagerank": (f4_pagerank, _pagerank_sql()),
-    "F5_connected_components": (f5_components, _COMPONENTS),
-    "F5_connected_components_all": (f5_components_all, None),
+    "F5_connected_components": (f5_components, None),
     "F6_nbody_accelerations": (f6_accelerations, _ACCEL),
     "F6_nbody": (f6_nbody, None),
     "F7_network_gradients": (f7_gradients, None),
     "F7_network": (f7_predict, None),
     "G1_rows_to_vectors": (g1_rows, "SELECT unnest([0, 1]) AS pos, round(unnest([p_size::DOUBLE, p_retailprice]), 6) AS x FROM part"),
+    "G2_split_files": (g2_split, "SELECT 6::BIGINT AS files, count(*) AS n FROM orders"),
     "G4_normalize_edges": (g4_normalize, _dense(f"SELECT {_fold_sql('l_suppkey * 3000000019')} AS src, {_fold_sql('l_partkey * 7 - 5000000000')} AS dst FROM lineitem")),
     "G5_doc_ranks": (g5_ranks, None),
     "G6_filter_edges": (g6_filter, f"WITH {_LINKS}, n AS (SELECT floor(count(*) * 0.25) AS n FROM part) SELECT src, dst FROM e, n WHERE src < n AND dst < n"),
@@ -452,7 +478,9 @@ QUERIES: dict = {
     "G8_smallest_image": (g8_smallest, "SELECT min(2 + p_size % 4)::BIGINT AS height, min(2 + p_size % 3)::BIGINT AS width FROM part"),
     "G9_crop_rgb": (g9_crop, _CROP),
     "G10_G11_merged_lines": (g10_merge, "SELECT p_partkey::DOUBLE AS k, p_retailprice AS price FROM part"),
+    "G12_zip": (g12_zip, "SELECT c_custkey, c_name FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) JOIN (SELECT c_name, row_number() OVER (ORDER BY c_name DESC) AS i FROM customer) USING (i)"),
     "G13_multiply": (g13_copies, "SELECT p_partkey - 1 + c * (SELECT count(*) FROM part) AS id, p_partkey AS of FROM part, (SELECT unnest(range(3)) AS c)"),
+    "G14_repartition_files": (g14_repartition, "SELECT 5::BIGINT AS files, count(*) AS n FROM embeddings"),
     "G15_downsample": (g15_downsample, "SELECT id, pos // 5 AS pos, round(x, 6) AS x FROM (" + _EMB.format("vec_id AS id, ") + ") WHERE pos % 5 = 0"),
     "G16_fake_labels": (g16_labels, None),
     "G17_last_files": (g17_subset, None),

@@ -212,37 +212,35 @@ def e40(spark, d):
 def _options(log_ratio):
     def run(spark, d):
         c = lambda n: f32(F.col(n))
-        put = F.when(F.col("l_linenumber") % 2 == 0, f32(0)).otherwise(f32(1))
-        v = K.option_price(c("l_extendedprice") / f32(1000), c("l_quantity") + f32(20), c("l_tax") + f32(0.01), c("l_discount") + f32(0.1), f32(F.col("l_linenumber")), put, log_ratio)
-        return X._line(spark, d, F.round(v.cast("double"), 2))
+        put = F.when(F.col("l_linenumber") % 2 == 0, F.lit(0)).otherwise(F.lit(1))
+        spot = f32(c("l_extendedprice") / f32(1000))
+        v = K.option_price(spot, c("l_quantity") + f32(20), c("l_tax") + f32(0.01), c("l_discount") + f32(0.1), f32(F.col("l_linenumber")), put, log_ratio)
+        return X._line(spark, d, F.round(v, 6))
 
     return run
 
 
 def _options_sql(log_ratio: bool) -> str:
-    r = "ln((s / k)::DOUBLE)::FLOAT" if log_ratio else "(s / k)::FLOAT"
+    ratio = "ln(s / k)" if log_ratio else "s / k"
 
     def cdf(x: str) -> str:
-        f = "::FLOAT"
-        k = f"((1{f} / (1{f} + 0.2316419{f} * abs({x}))){f})"
+        k = f"(1::DOUBLE / (1::DOUBLE + 0.2316419::DOUBLE * abs({x})))"
         p = [k]
         for _ in range(4):
-            p.append(f"(({p[-1]} * {k}){f})")
-        rest = f"({p[1]} * (-0.356563782){f})"
+            p.append(f"({p[-1]} * {k})")
+        rest = f"({p[1]} * (-0.356563782)::DOUBLE)"
         for q, c in zip(p[2:], ("1.781477937", "(-1.821255978)", "1.330274429")):
-            rest = f"(({rest} + {q} * {c}{f}){f})"
-        poly = f"(({rest} + {k} * 0.319381530{f}){f})"
-        density = f"(exp(((-0.5){f} * {x} * {x})::DOUBLE){f} * 0.39894228040143270286{f})"
-        upper = f"((1{f} - {poly} * {density}){f})"
-        return f"((CASE WHEN {x} < 0 THEN 1{f} - {upper} ELSE {upper} END){f})"
+            rest = f"({rest} + {q} * {c}::DOUBLE)"
+        upper = f"(1::DOUBLE - ({rest} + {k} * 0.319381530::DOUBLE) * (exp((-0.5)::DOUBLE * {x} * {x}) * 0.39894228040143270286::DOUBLE))"
+        return f"(CASE WHEN {x} < 0 THEN 1::DOUBLE - {upper} ELSE {upper} END)"
 
     return f"""
-WITH t AS (SELECT l_orderkey AS id, l_linenumber AS n, (l_extendedprice::FLOAT / 1000::FLOAT)::FLOAT AS s, l_quantity::FLOAT + 20::FLOAT AS k,
-  l_tax::FLOAT + 0.01::FLOAT AS r, l_discount::FLOAT + 0.1::FLOAT AS vol, l_linenumber::FLOAT AS tm, l_linenumber % 2 AS put FROM lineitem),
-e AS (SELECT *, (r + vol * vol * 0.5::FLOAT) * tm + {r} AS num, (vol * sqrt(tm::DOUBLE)::FLOAT)::FLOAT AS spread FROM t),
-q AS (SELECT *, (num / spread)::FLOAT AS d1, ((num / spread)::FLOAT - spread)::FLOAT AS d2, (k * exp((-r * tm)::DOUBLE)::FLOAT)::FLOAT AS f FROM e),
+WITH t AS (SELECT l_orderkey AS id, l_linenumber AS n, (l_extendedprice::FLOAT / 1000::FLOAT)::FLOAT::DOUBLE AS s, (l_quantity::FLOAT + 20::FLOAT)::FLOAT::DOUBLE AS k,
+  (l_tax::FLOAT + 0.01::FLOAT)::FLOAT::DOUBLE AS r, (l_discount::FLOAT + 0.1::FLOAT)::FLOAT::DOUBLE AS vol, l_linenumber::DOUBLE AS tm, l_linenumber % 2 AS put FROM lineitem),
+e AS (SELECT *, (r + vol * vol * 0.5::DOUBLE) * tm + {ratio} AS num, vol * sqrt(tm) AS spread FROM t),
+q AS (SELECT *, num / spread AS d1, num / spread - spread AS d2, k * exp(-r * tm) AS f FROM e),
 c AS (SELECT *, {cdf("d1")} AS n1, {cdf("d2")} AS n2 FROM q)
-SELECT id, n, round((CASE WHEN put = 0 THEN s * n1 - f * n2 ELSE f * (1::FLOAT - n2) - s * (1::FLOAT - n1) END)::FLOAT::DOUBLE, 2) AS v FROM c"""
+SELECT id, n, round(CASE WHEN put = 0 THEN s * n1 - f * n2 ELSE f * (1::DOUBLE - n2) - s * (1::DOUBLE - n1) END, 6) AS v FROM c"""
 
 
 _TRIPLE = "x + 3::FLOAT + y + z"
