@@ -5,10 +5,10 @@ the network's vocabulary, in classes of equal size by rank; every other word
 falls into one of a few *shape* classes, inside which the corpus counts decide.
 The output is a softmax over classes and, for vocabulary words, one over the
 class's words, both from the recurrent state. Training is truncated
-backpropagation on all documents that are not held out, the state carried from
-window to window: in each epoch the documents' pieces are dealt out to shards,
-every shard starts from the same parameters, and the mean of theirs, weighted by
-tokens, is the next epoch's start. Scoring runs many documents side by side and carries each one's state
+backpropagation over all documents that are not held out, once, the state carried
+from window to window: their pieces are dealt out to rounds and shards, every shard
+of a round starts from the same parameters, and the mean of theirs, weighted by
+tokens, is the next round's start. Scoring runs many documents side by side and carries each one's state
 through to its end, so a text's score is its complete log-likelihood.
 
 Words beyond the ``HEAD`` most frequent never reach the driver or a broadcast:
@@ -18,6 +18,7 @@ they are joined with the counts by a shuffle, where no word is frequent any more
 from __future__ import annotations
 
 import copy
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -38,12 +39,16 @@ END = b"\n"
 HEAD, VOCAB, CLASS_SIZE = 1 << 16, 1024, 32
 SHAPES = 8
 HIDDEN = 32
-#: Tokens of a training shard, until there are SHARDS of them; beyond, shards grow with the corpus.
-SHARD_TOKENS, SHARDS = 1_500_000, 128
+#: Tokens of a training shard, about, and rounds after which the shards' parameters are averaged.
+SHARD_TOKENS, ROUNDS = 2_000_000, 2
 #: Tokens of the pieces that longer documents are cut into for training, and tokens that a shard holds at a time.
 PIECE, BLOCK = 2_000, 256_000
-LANES, WINDOW, EPOCHS, RATE = 64, 20, 2, 0.01
-SCORE_LANES, SCORE_WINDOW = 192, 32
+LANES, WINDOW, RATE = 256, 20, 0.01
+SCORE_LANES, SCORE_WINDOW = 384, 32
+#: Steps of the lanes that are laid out at a time.
+STEPS = 640
+#: Parts of a power of two by which counts are told apart to find the head.
+_GRADES = 16
 _FLUSH = 200_000
 
 
@@ -69,11 +74,11 @@ def shape(word: bytes) -> int:
 class Network:
     """Parameters of the recurrent model over ``words`` vocabulary words and SHAPES shapes.
 
-    Input and class ids: vocabulary words first, then shapes.
+    Input and class ids: vocabulary words first, then shapes; one more input is the start of a text.
     """
 
     words: int
-    x: np.ndarray  # (words + SHAPES, 3H) input part of the gates
+    x: np.ndarray  # (words + SHAPES + 1, 3H) input part of the gates
     u: np.ndarray  # (H, 3H) recurrent part
     b: np.ndarray  # (3H,)
     wc: np.ndarray  # (H, classes)
@@ -106,7 +111,7 @@ def new_network(word_counts: np.ndarray, shape_counts: np.ndarray, hidden: int =
         bo = np.where(grid > 0, np.log(np.maximum(grid, 1e-9)), -1e9)
     return Network(
         n,
-        rng.normal(0, 0.1, (n + SHAPES, 3 * hidden)).astype(f),
+        rng.normal(0, 0.1, (n + SHAPES + 1, 3 * hidden)).astype(f),
         rng.normal(0, 0.5 / math.sqrt(hidden), (hidden, 3 * hidden)).astype(f),
         np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(hidden)]).astype(f),
         np.zeros((hidden, k + SHAPES), dtype=f),
@@ -116,10 +121,6 @@ def new_network(word_counts: np.ndarray, shape_counts: np.ndarray, hidden: int =
     )
 
 
-def _sigmoid(v: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-v))
-
-
 def _log_softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(axis=-1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
@@ -135,23 +136,32 @@ def _runs(classes: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _forward(net: Network, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list, np.ndarray]:
-    """States (T, B, H) of a window, what backpropagation needs, and the last state."""
+    """States (T * B, H) of a window, what backpropagation needs, and the last state.
+
+    Lanes are the last axis inside, so that each gate is one block of memory.
+    """
     hid = net.u.shape[0]
-    gx = net.x[ids] + net.b
-    states = np.empty((*ids.shape, hid), dtype=np.float32)
+    gx = np.ascontiguousarray((net.x[ids] + net.b).transpose(0, 2, 1))
+    across = np.ascontiguousarray(net.u.T)
+    now = np.ascontiguousarray(h.T)
+    states = np.empty((len(ids), hid, ids.shape[1]), dtype=now.dtype)
     saved = []
     for t in range(len(ids)):
         if fresh[t].any():
-            h = h * (1 - fresh[t])[:, None]
-        a = h @ net.u
-        g = _sigmoid(gx[t, :, : 2 * hid] + a[:, : 2 * hid])
-        r, z = g[:, :hid], g[:, hid:]
-        n = np.tanh(gx[t, :, 2 * hid :] + r * a[:, 2 * hid :])
-        new = n + z * (h - n)
+            now = now * (1 - fresh[t])
+        a = across @ now
+        g = gx[t, : 2 * hid] + a[: 2 * hid]
+        np.negative(g, out=g)
+        np.exp(np.minimum(g, 60, out=g), out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        r, z, rest = g[:hid], g[hid:], a[2 * hid :]
+        n = np.tanh(gx[t, 2 * hid :] + r * rest)
+        new = n + z * (now - n)
         if keep:
-            saved.append((h, r, z, n, a[:, 2 * hid :]))
-        h = states[t] = new
-    return states, saved, h
+            saved.append((now, r, z, n, rest))
+        now = states[t] = new
+    return states.transpose(0, 2, 1).reshape(-1, hid), saved, now.T
 
 
 def _log_probs(net: Network, s: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -165,6 +175,57 @@ def _log_probs(net: Network, s: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
+def gradients(net: Network, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[float, int, list[np.ndarray], np.ndarray]:
+    """A window's summed loss and valid tokens, the gradients of its mean loss by ``params()``, and the last state."""
+    hid, lanes = net.u.shape[0], ids.shape[1]
+    s, saved, last = _forward(net, ids, fresh, h, True)
+    y, w = target.reshape(-1), valid.reshape(-1).astype(np.float32)
+    count = max(1.0, float(w.sum()))
+    # output layer
+    cls = net.class_of(y)
+    lp = _log_softmax(s @ net.wc + net.bc)
+    rows = np.arange(len(y))
+    loss = -float((lp[rows, cls] * w).sum())
+    d = np.exp(lp)
+    d[rows, cls] -= 1
+    d *= (w / count)[:, None]
+    g_wc, g_bc = s.T @ d, d.sum(axis=0)
+    ds = d @ net.wc.T
+    g_wo, g_bo = np.zeros_like(net.wo), np.zeros_like(net.bo)
+    for c, at in _runs(cls, net.word_classes):
+        z = _log_softmax(s[at] @ net.wo[c] + net.bo[c])
+        k = y[at] - c * CLASS_SIZE
+        loss -= float((z[np.arange(len(at)), k] * w[at]).sum())
+        e = np.exp(z)
+        e[np.arange(len(at)), k] -= 1
+        e *= (w[at] / count)[:, None]
+        g_wo[c], g_bo[c] = s[at].T @ e, e.sum(axis=0)
+        ds[at] += e @ net.wo[c].T
+    # recurrence, back through the window
+    ds = np.ascontiguousarray(ds.reshape(*ids.shape, hid).transpose(0, 2, 1))
+    dg = np.empty((len(ids), 3 * hid, lanes), dtype=net.x.dtype)
+    g_u = np.zeros_like(net.u)
+    dh = np.zeros_like(ds[0])
+    for t in reversed(range(len(ids))):
+        h0, r, z, n, rest = saved[t]
+        dh += ds[t]
+        own = dg[t]
+        dn = own[2 * hid :] = dh * (1 - z) * (1 - n * n)
+        own[hid : 2 * hid] = dh * (h0 - n) * z * (1 - z)
+        own[:hid] = dn * rest * r * (1 - r)
+        da = np.concatenate([own[: 2 * hid], dn * r])
+        g_u += h0 @ da.T
+        dh = dh * z + net.u @ da
+        dh *= 1 - fresh[t]
+    flat = dg.transpose(0, 2, 1).reshape(-1, 3 * hid)
+    g_x = np.zeros_like(net.x)
+    order = np.argsort(ids.reshape(-1), kind="stable")
+    sorted_ids = ids.reshape(-1)[order]
+    first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+    g_x[sorted_ids[first]] = np.add.reduceat(flat[order], first, axis=0)
+    return loss, int(w.sum()), [g_x, g_u, flat.sum(axis=0), g_wc, g_bc, g_wo, g_bo], last
+
+
 class Trainer:
     """Adam on windows of truncated backpropagation; the rate falls over ``total`` steps, ``done`` of them made before."""
 
@@ -175,62 +236,16 @@ class Trainer:
 
     def run(self, docs: list[np.ndarray]) -> tuple[float, int]:
         """One pass over ``docs``; the loss and the number of tokens."""
-        net, hid = self.net, self.net.u.shape[0]
+        net = self.net
         lanes = min(LANES, max(1, len(docs)))
-        ids, target, fresh, valid, _ = _streams(net, docs, lanes)
-        h = np.zeros((lanes, hid), dtype=np.float32)
+        h = np.zeros((lanes, net.u.shape[0]), dtype=np.float32)
         loss, seen = 0.0, 0
-        for a in range(0, len(ids), WINDOW):
-            i, tg, fr, ok = (v[a : a + WINDOW] for v in (ids, target, fresh, valid))
-            states, saved, last = _forward(net, i, fr, h, True)
-            s, y, w = states.reshape(-1, hid), tg.reshape(-1), ok.reshape(-1).astype(np.float32)
-            count = float(w.sum())
+        for ids, target, fresh, valid, _ in _windows(net, docs, lanes, WINDOW):
+            lost, count, grads, h = gradients(net, ids, target, fresh, valid, h)
             if not count:
-                break
-            # output layer
-            cls = net.class_of(y)
-            lp = _log_softmax(s @ net.wc + net.bc)
-            rows = np.arange(len(y))
-            loss -= float((lp[rows, cls] * w).sum())
-            d = np.exp(lp)
-            d[rows, cls] -= 1
-            d *= (w / count)[:, None]
-            g_wc, g_bc = s.T @ d, d.sum(axis=0)
-            ds = d @ net.wc.T
-            g_wo, g_bo = np.zeros_like(net.wo), np.zeros_like(net.bo)
-            for c, at in _runs(cls, net.word_classes):
-                z = _log_softmax(s[at] @ net.wo[c] + net.bo[c])
-                k = y[at] - c * CLASS_SIZE
-                loss -= float((z[np.arange(len(at)), k] * w[at]).sum())
-                e = np.exp(z)
-                e[np.arange(len(at)), k] -= 1
-                e *= (w[at] / count)[:, None]
-                g_wo[c], g_bo[c] = s[at].T @ e, e.sum(axis=0)
-                ds[at] += e @ net.wo[c].T
-            seen += int(count)
-            # recurrence, back through the window
-            ds = ds.reshape(states.shape)
-            dg = np.empty((len(i), lanes, 3 * hid), dtype=np.float32)
-            g_u = np.zeros_like(net.u)
-            dh = np.zeros_like(h)
-            for t in reversed(range(len(i))):
-                h0, r, z, n, an = saved[t]
-                dh = dh + ds[t]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (h0 - n) * z * (1 - z)
-                dr = dn * an * r * (1 - r)
-                da = np.concatenate([dr, dz, dn * r], axis=1)
-                dg[t, :, :hid], dg[t, :, hid : 2 * hid], dg[t, :, 2 * hid :] = dr, dz, dn
-                g_u += h0.T @ da
-                dh = dh * z + da @ net.u.T
-                dh = dh * (1 - fr[t])[:, None]
-            flat = dg.reshape(-1, 3 * hid)
-            g_x = np.zeros_like(net.x)
-            order = np.argsort(i.reshape(-1), kind="stable")
-            sorted_ids = i.reshape(-1)[order]
-            first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-            g_x[sorted_ids[first]] = np.add.reduceat(flat[order], first, axis=0)
-            grads = [g_x, g_u, flat.sum(axis=0), g_wc, g_bc, g_wo, g_bo]
+                continue
+            loss += lost
+            seen += count
             norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
             scale = min(1.0, 1.0 / norm) if norm else 1.0
             self.step += 1
@@ -240,32 +255,17 @@ class Trainer:
                 a1 += 0.1 * (g - a1)
                 a2 += 0.001 * (g * g - a2)
                 p -= (rate * a1 / (np.sqrt(a2) + 1e-8)).astype(np.float32)
-            h = last
         return loss, seen
 
 
-def train(net: Network, docs: list[np.ndarray], epochs: int = EPOCHS, seed: int = 9) -> list[float]:
-    """Epochs of ``Trainer`` over documents in memory; the mean loss of each."""
-    rng = np.random.default_rng(seed)
-    lanes = min(LANES, max(1, len(docs)))
-    trainer = Trainer(net, epochs * sum(map(len, docs)) // (lanes * WINDOW) + 1)
-    losses = []
-    for _ in range(epochs):
-        loss, seen = trainer.run([docs[i] for i in rng.permutation(len(docs))])
-        losses.append(loss / max(1, seen))
-    return losses
-
-
-def _streams(net: Network, docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, ...]:
-    """Documents laid end to end in lanes: inputs, targets, starts, validity (T, lanes) and document numbers.
+def _windows(net: Network, docs: list[np.ndarray], lanes: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Documents laid end to end in lanes, a window at a time: inputs, targets, starts, validity (T, lanes) and document numbers.
 
     Each document goes to the shortest lane, longest first. A document's first
-    input is the last target id of nothing: the id of the end if it is in the
-    vocabulary, and the state is reset there.
+    input is the start of a text, and the state is reset there. Memory is that of
+    ``STEPS`` steps, whatever the length of a document.
     """
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
-    import heapq
-
     heap = [(0, k) for k in range(lanes)]
     put: list[list[int]] = [[] for _ in range(lanes)]
     for i in np.argsort(-lengths, kind="stable"):
@@ -273,22 +273,36 @@ def _streams(net: Network, docs: list[np.ndarray], lanes: int) -> tuple[np.ndarr
         put[k].append(int(i))
         heapq.heappush(heap, (n + int(lengths[i]), k))
     longest = max(n for n, _ in heap)
-    ids = np.zeros((longest, lanes), dtype=np.int32)
-    target = np.zeros((longest, lanes), dtype=np.int32)
-    fresh = np.zeros((longest, lanes), dtype=np.float32)
-    valid = np.zeros((longest, lanes), dtype=bool)
-    number = np.zeros((longest, lanes), dtype=np.int64)
-    for k, own in enumerate(put):
-        at = 0
-        for i in own:
-            n = len(docs[i])
-            target[at : at + n, k] = docs[i]
-            ids[at + 1 : at + n, k] = docs[i][:-1]
-            fresh[at, k] = 1
-            valid[at : at + n, k] = True
-            number[at : at + n, k] = i
-            at += n
-    return ids, target, fresh, valid, number
+    steps = max(1, STEPS // width) * width
+    at = [(0, 0)] * lanes  # the lane's document, and how much of it has been laid out
+    for base in range(0, longest, steps):
+        size = min(steps, longest - base)
+        ids = np.zeros((size, lanes), dtype=np.int32)
+        target = np.zeros((size, lanes), dtype=np.int32)
+        fresh = np.zeros((size, lanes), dtype=np.float32)
+        valid = np.zeros((size, lanes), dtype=bool)
+        number = np.zeros((size, lanes), dtype=np.int64)
+        for k, own in enumerate(put):
+            (j, off), t = at[k], 0
+            while j < len(own) and t < size:
+                doc = docs[own[j]]
+                n = min(len(doc) - off, size - t)
+                target[t : t + n, k] = doc[off : off + n]
+                valid[t : t + n, k] = True
+                number[t : t + n, k] = own[j]
+                if off:
+                    ids[t : t + n, k] = doc[off - 1 : off + n - 1]
+                elif n:
+                    ids[t, k] = net.words + SHAPES
+                    ids[t + 1 : t + n, k] = doc[: n - 1]
+                    fresh[t, k] = 1
+                t, off = t + n, off + n
+                if off == len(doc):
+                    j, off = j + 1, 0
+            at[k] = (j, off)
+        for a in range(0, size, width):
+            w = slice(a, a + width)
+            yield ids[w], target[w], fresh[w], valid[w], number[w]
 
 
 def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
@@ -296,19 +310,17 @@ def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     if not docs:
         return np.zeros(0)
     lanes = min(SCORE_LANES, len(docs))
-    ids, target, fresh, valid, number = _streams(net, docs, lanes)
     out = np.zeros(len(docs))
     h = np.zeros((lanes, net.u.shape[0]), dtype=np.float32)
     alive = np.arange(lanes)
-    for a in range(0, len(ids), SCORE_WINDOW):
-        w = slice(a, a + SCORE_WINDOW)
-        left = valid[w][0, alive]
+    for ids, target, fresh, valid, number in _windows(net, docs, lanes, SCORE_WINDOW):
+        left = valid[0, alive]
         if not left.all():  # lanes that have ended drop out
             alive, h = alive[left], h[left]
-        states, _, h = _forward(net, ids[w][:, alive], fresh[w][:, alive], h, False)
-        ok = valid[w][:, alive].reshape(-1)
-        lp = _log_probs(net, states.reshape(-1, h.shape[1])[ok], target[w][:, alive].reshape(-1)[ok])
-        out += np.bincount(number[w][:, alive].reshape(-1)[ok], weights=lp, minlength=len(docs))
+        states, _, h = _forward(net, ids[:, alive], fresh[:, alive], h, False)
+        ok = valid[:, alive].reshape(-1)
+        lp = _log_probs(net, states[ok], target[:, alive].reshape(-1)[ok])
+        out += np.bincount(number[:, alive].reshape(-1)[ok], weights=lp, minlength=len(docs))
     return out
 
 
@@ -355,9 +367,27 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return part.groupBy("word").agg(F.sum("n").alias("c"), F.min("shape").alias("shape"))
 
 
+def _head(counts: DataFrame) -> list:
+    """The most frequent words, ``HEAD`` at most, by falling count.
+
+    A histogram of counts finds where to cut before any word goes to the driver;
+    of the words at the cut, which are all about as frequent, a hash takes a share.
+    """
+    grade = F.floor(F.log2("c") * _GRADES).cast("int")
+    sizes = {r["g"]: r["n"] for r in counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken, cut, share = 0, -1, 0
+    for g in sorted(sizes, reverse=True):
+        if taken + sizes[g] > HEAD:
+            cut, share = g, int((HEAD - taken) / sizes[g] * 0.97 * (1 << 20))
+            break
+        taken += sizes[g]
+    some = counts.where((grade > cut) | ((grade == cut) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)))
+    return sorted(some.collect(), key=lambda r: (-r["c"], bytes(r["word"])))[:HEAD]
+
+
 def lexicon(counts: DataFrame) -> tuple[Lexicon, Network, int, int]:
     """(lexicon, untrained network, N, V) of ``count_tokens``' table; the driver gets HEAD words at most."""
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    head = _head(counts)
     by_shape = {r["shape"]: (r["n"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     total = sum(n for n, _ in by_shape.values())
     distinct = sum(v for _, v in by_shape.values())
@@ -375,7 +405,7 @@ def lexicon(counts: DataFrame) -> tuple[Lexicon, Network, int, int]:
 
 
 def pieces(docs: DataFrame, lex: Lexicon, shards: int) -> DataFrame:
-    """``(shard, place, ids)``: network ids of all ``docs(doc_id, text)`` in pieces, in an order that a hash makes."""
+    """``(round, shard, place, ids)``: network ids of all ``docs(doc_id, text)`` in pieces, in an order that a hash makes."""
     sent = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,24 +425,40 @@ def pieces(docs: DataFrame, lex: Lexicon, shards: int) -> DataFrame:
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         keys, at, ids = zip(*out)
-        cols = [pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.list_(pa.int16()))]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        cols = [pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "ids"])
 
     cut = docs.mapInArrow(run, "doc_id long, at long, ids array<short>")
     place = F.xxhash64("doc_id", "at", "ids", F.lit("grulm"))
-    return cut.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.xxhash64(place, F.lit(1)).alias("place"), "ids")
+    turn = F.pmod(F.xxhash64(place, F.lit(2)), F.lit(ROUNDS)).cast("int")
+    return cut.select(turn.alias("round"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.xxhash64(place, F.lit(1)).alias("place"), "ids")
+
+
+_SUM = "tokens long, params binary"
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all: tokens, and the sum of parameters."""
+    tokens, total = 0, None
+    for b in batches:
+        for n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            tokens += n
+            total = np.frombuffer(p, dtype=np.float64) + (0.0 if total is None else total)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["tokens", "params"])
 
 
 def _round(rows: DataFrame, net: Network, shards: int, total: int, done: int) -> DataFrame:
-    """``(shard, tokens, params)`` after one pass of every shard over its pieces, all from ``net``."""
+    """``(tokens, params)``, a row for each shard: the parameters times the tokens after one pass over its pieces, from ``net`` on."""
     sent = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, own, tokens, block, held = None, None, 0, [], 0
 
         def ended() -> pa.RecordBatch:
-            params = np.concatenate([p.ravel() for p in own.net.params()]).astype(np.float32)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([tokens], pa.int64()), pa.array([params.tobytes()], pa.binary())], names=["shard", "tokens", "params"])
+            params = np.concatenate([p.ravel() for p in own.net.params()]).astype(np.float64) * tokens
+            return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([params.tobytes()], pa.binary())], names=["tokens", "params"])
 
         for b in batches:
             for s, ids in zip(b.column(0).to_pylist(), b.column(1)):
@@ -431,28 +477,29 @@ def _round(rows: DataFrame, net: Network, shards: int, total: int, done: int) ->
             yield ended()
 
     dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "ids")
-    return dealt.mapInArrow(run, "shard int, tokens long, params binary")
+    return dealt.mapInArrow(run, _SUM)
 
 
 def fit(docs: DataFrame, lex: Lexicon, net: Network, tokens: int, scratch: Scratch) -> list[int]:
-    """Train ``net`` on all ``docs(doc_id, text)`` of ``tokens`` tokens; the tokens that each epoch has learned from.
+    """Train ``net`` on all ``docs(doc_id, text)`` of ``tokens`` tokens; the tokens that each round has learned from.
 
-    The driver holds one shard's parameters at a time besides their sum.
+    Shards grow in number with the corpus. Their parameters are summed on the
+    executors, and the driver gets as many sums as the root of that number.
     """
-    shards = min(SHARDS, max(1, -(-tokens // SHARD_TOKENS)))
+    shards = max(1, -(-tokens // (SHARD_TOKENS * ROUNDS)))
     rows = scratch.save(pieces(docs, lex, shards), "pieces")
-    steps = tokens // (shards * LANES * WINDOW) + 1
+    steps = tokens // (ROUNDS * shards * LANES * WINDOW) + 1
     learned = []
-    for r in range(EPOCHS):
-        table = scratch.save(_round(rows, net, shards, EPOCHS * steps, r * steps), f"round{r}")
+    for r in range(ROUNDS):
+        table = scratch.save(_round(rows.where(F.col("round") == r), net, shards, ROUNDS * steps, r * steps), f"round{r}")
         params = net.params()
-        mean, seen = np.zeros(sum(p.size for p in params)), 0
-        for row in table.orderBy("shard").toLocalIterator():
-            mean += row["tokens"] * np.frombuffer(row["params"], dtype=np.float32).astype(np.float64)
+        total, seen = np.zeros(sum(p.size for p in params)), 0
+        for row in table.repartition(math.isqrt(shards)).mapInArrow(_summed, _SUM).toLocalIterator():
+            total += np.frombuffer(row["params"], dtype=np.float64)
             seen += row["tokens"]
         if seen:
             cuts = np.cumsum([p.size for p in params])[:-1]
-            for p, v in zip(params, np.split(mean / seen, cuts)):
+            for p, v in zip(params, np.split(total / seen, cuts)):
                 p[...] = v.reshape(p.shape)
         learned.append(seen)
         scratch.drop(table)
@@ -481,24 +528,32 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexic, model = sent.value
+
+        def scored(part: pa.RecordBatch, seqs: list, stats: list, tails: list) -> pa.RecordBatch:
+            lm = score(model, seqs) / math.log(10)
+            cols = list(zip(*stats)) or [()] * 4
+            own = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array([float(a + c) for a, c in zip(lm, cols[3])], pa.float64())]
+            own += [pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *own], names=["uid", "doc_id", "held_out", "n_tokens", "known", "head", "lm", "tail", "times"])
+
         for b in batches:
-            seqs, stats, tails = [], [], []
-            for t in b.column(3):
+            seqs, stats, tails, first, held = [], [], [], 0, 0
+            for i, t in enumerate(b.column(3)):
                 words = words_of(t.as_py())
                 at, ids = lexic.encode(words)
                 known = at[at >= 0]
                 rare = ids - model.words
                 norm = lexic.shape_norm[rare[rare >= 0]].sum()
                 rare_head = known[known >= model.words]
-                tail = Counter([words[i] for i in np.flatnonzero(at < 0)])
+                tails.append(Counter([words[j] for j in np.flatnonzero(at < 0)]))
                 seqs.append(ids)
                 stats.append((len(words), len(known), float(lexic.log_c[known].sum()) if len(known) else 0.0, (float(lexic.log_c[rare_head].sum()) if len(rare_head) else 0.0) - float(norm)))
-                tails.append(tail)
-            lm = score(model, seqs) / math.log(10)
-            cols = list(zip(*stats)) or [()] * 4
-            own = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array([float(a + c) for a, c in zip(lm, cols[3])], pa.float64())]
-            own += [pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *own], names=["uid", "doc_id", "held_out", "n_tokens", "known", "head", "lm", "tail", "times"])
+                held += len(words)
+                if held > BLOCK:
+                    yield scored(b.slice(first, i + 1 - first), seqs, stats, tails)
+                    seqs, stats, tails, first, held = [], [], [], i + 1, 0
+            if seqs:
+                yield scored(b.slice(first), seqs, stats, tails)
 
     numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
     done = scratch.save(numbered.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, known long, head double, lm double, tail array<binary>, times array<int>"), "scored")
