@@ -6,7 +6,8 @@ with softmax gives the languages. Training is stochastic gradient descent in
 numpy on a bounded sample of labelled documents, whose whole texts reach the
 driver as bucket counts. Two things are then fitted on a part of the sample kept
 out of training: a temperature that calibrates the scores, and the least margin
-between the two best languages, below which a text is rejected.
+between the two best languages, below which a text is rejected. It lies between
+shares of what the kept-out texts reach, as high as random letters require.
 
 Embeddings are averaged and the layer above is linear, so prediction needs one
 number for each n-gram and language. The n-grams of a block of texts are hashed
@@ -31,15 +32,18 @@ from warpline.plans.scratch import pick
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 15
 DIM = 16
-#: Training documents of each language, about; languages beyond MAX_LANGS (the rarest) are not learned.
+#: Training documents of each language, about.
 SAMPLE_PER_LANG = 400
-MAX_LANGS = 400
 EPOCHS = 12
+#: Share of uncertainty in the labels that calibration assumes.
+DOUBT = 0.01
 #: Share of correct calibration documents that rejection may cost.
 REJECT_SHARE = 0.001
-#: Part of that quantile's margin that still passes, so that texts a little less typical than the sample do.
-REJECT_SLACK = 0.15
-_BLOCK_CHARS = 1 << 19
+#: Least and most part of that quantile's margin that a text must reach; the margins of NOISE random texts decide between them.
+REJECT_FROM, REJECT_TO = 0.5, 0.8
+NOISE = 200
+#: Characters times languages of a block of texts, about; its arrays take 16 bytes for each.
+_BLOCK = 1 << 21
 _has_letter = regex.compile(r"\p{L}").search
 _spaces = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -86,6 +90,12 @@ def shares_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return u.astype(np.int32), (c / max(1, c.sum())).astype(np.float32)
 
 
+def _noise(rng: np.random.Generator) -> list[str]:
+    """Texts of random letters a-z."""
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    return [" ".join("".join(rng.choice(letters, size)) for size in rng.integers(2, 10, 60)) for _ in range(NOISE)]
+
+
 def train(docs: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 7) -> LanguageModel:
     """A model of labelled texts, given by ``shares_of``; deterministic.
 
@@ -126,13 +136,18 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int
 
     temperature, threshold = 1.0, 0.0
     if len(cal) and len(names) > 1:
-        grid = np.geomspace(0.2, 20, 60)
-        loss = [-np.log(np.maximum(shares(t)[np.arange(len(cal)), y[cal]], 1e-12)).mean() for t in grid]
+        grid = np.geomspace(0.01, 20, 120)
+        # against slightly uncertain targets, so that a sample without an error has a best temperature too
+        target = (1 - DOUBT) * np.eye(len(names))[y[cal]] + DOUBT / len(names)
+        loss = [-(target * np.log(np.maximum(shares(t), 1e-300))).sum(axis=1).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
         right = z.argmax(axis=1) == y[cal]
         if right.any():
             margin = np.diff(np.sort(z, axis=1)[:, -2:], axis=1)[:, 0]
-            threshold = float(np.quantile(margin[right], REJECT_SHARE)) * REJECT_SLACK
+            least = float(np.quantile(margin[right], REJECT_SHARE))
+            noise = [weights[u].T @ share + bias for u, share in map(shares_of, _noise(rng))]
+            false = float(np.quantile(np.diff(np.sort(noise, axis=1)[:, -2:], axis=1), 0.95))
+            threshold = min(max(REJECT_FROM * least, false), REJECT_TO * least)
     return LanguageModel(names, weights, bias, temperature, threshold)
 
 
@@ -143,10 +158,11 @@ def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, fl
     counts = np.zeros(n)
     letters = [bool(t) and _has_letter(t) is not None for t in texts]
     at = 0
+    block = max(1 << 12, _BLOCK // max(1, k))
     while at < n:
         # a block of whole texts; one long text is cut where order - 1 characters are seen twice
         group, chars = [], 0
-        while at < n and (not group or chars + len(texts[at] or "") <= _BLOCK_CHARS):
+        while at < n and (not group or chars + len(texts[at] or "") <= block):
             if letters[at]:
                 group.append(at)
                 chars += len(texts[at])
@@ -158,8 +174,8 @@ def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, fl
             if c is None:
                 break
             for o in ORDERS:
-                for s in range(0, max(1, len(c) - o + 1), _BLOCK_CHARS):
-                    h = _hashed(c[s : s + _BLOCK_CHARS + o - 1], o)
+                for s in range(0, max(1, len(c) - o + 1), block):
+                    h = _hashed(c[s : s + block + o - 1], o)
                     sums[i] += model.weights[h].sum(axis=0, dtype=np.float64)
                     counts[i] += len(h)
         if len(group) > 1:
@@ -189,16 +205,16 @@ def fold(mod: int) -> Column:
 def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """About ``per_lang`` rows (lang, buckets, shares) of each language, by a hash of doc_id.
 
-    The driver gets at most twice ``per_lang`` rows for each of MAX_LANGS
-    languages, each of bounded size.
+    The driver gets at most twice ``per_lang`` rows for each language, each of
+    bounded size. Every language is learned; their number is that of the model's
+    classes, which all tasks hold.
     """
     rows = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not seen:
+    seen = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count(F.lit(1))).alias("_share"))
+    seen = docs.sparkSession.createDataFrame(seen.collect(), seen.schema)
+    langs = seen.count()
+    if not langs:
         return []
-    share = F.lit(0.0)
-    for r in seen:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["n"]))).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 24)) / F.lit(float(1 << 24))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +222,8 @@ def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tu
             got = [shares_of(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([u for u, _ in got], pa.list_(pa.int32())), pa.array([c for _, c in got], pa.list_(pa.float32()))], names=["doc_id", "lang", "at", "share"])
 
-    cut = rows.where(draw < share).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    got = cut.mapInArrow(features, "doc_id long, lang string, at array<int>, share array<float>").limit(2 * per_lang * len(seen)).toArrow()
+    cut = rows.join(F.broadcast(seen), "lang").where(draw < F.col("_share")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    got = cut.mapInArrow(features, "doc_id long, lang string, at array<int>, share array<float>").limit(2 * per_lang * langs).toArrow()
     found = [(x, np.array(u, dtype=np.int32), np.array(c, dtype=np.float32), d) for d, x, u, c in zip(*(got.column(n).to_pylist() for n in ("doc_id", "lang", "at", "share")))]
     found.sort(key=lambda r: (r[3] is None, r[3] or 0, r[0], len(r[1])))
     return [r[:3] for r in found]
