@@ -97,7 +97,7 @@ def linked(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     open_ = scratch.save(labelled.join(main, ["t", "k"]), "open")
     few = open_.where("root <> main").select("t", "k", F.col("fp").alias("f1"), F.col("root").alias("a"))
     all_ = open_.select("t", "k", F.col("fp").alias("f2"), F.col("root").alias("b"))
-    second = few.join(all_, ["t", "k"]).where((F.col("a") != F.col("b")) & near(F.col("f1"), F.col("f2"))).select("a", "b")
+    second = scratch.save(few.join(all_, ["t", "k"]).where((F.col("a") != F.col("b")) & near(F.col("f1"), F.col("f2"))).select("a", "b").distinct(), "second")
     merged = components(second, scratch)
     # a single fingerprint gains its root only in the second pass
     known = roots.select(F.col("node").alias("fp"), "root").unionByName(second.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("fp").alias("root")))
@@ -105,6 +105,16 @@ def linked(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return scratch.save(known.join(up, "root", "left").select("fp", F.coalesce("up", "root").alias("root")), "linked")
 
 
+def _classes(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """``(fp, root, component_id)`` of every distinct ``fp`` of written ``rows(doc_id, fp)``; ``root`` tells components apart."""
+    classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = linked(classes.select("fp"), radius, scratch)
+    in_root = classes.join(roots, "fp")
+    least = in_root.groupBy("root").agg(F.min("first").alias("least"))
+    grouped = in_root.join(least, "root").select("fp", "root", "least")
+    return classes.join(grouped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
+
+
 def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text)``.
 
@@ -115,29 +125,34 @@ def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4) -> Data
     doc_id gets its component's id, which is null if no member has one. An
     empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, width), "fps")
-    classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = linked(classes.select("fp"), radius, scratch)
-    in_root = classes.join(roots, "fp")
-    least = in_root.groupBy("root").agg(F.min("first").alias("least"))
-    grouped = in_root.join(least, "root").select("fp", "least")
-    component = classes.join(grouped, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    out = rows.join(component, "fp")
+    out = rows.join(_classes(rows, radius, scratch).drop("root"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component and no other row.
+    """``docs`` with the row of smallest doc_id of each component and no other row.
 
-    All columns stay. Rows that repeat a kept doc_id are repeated copies; one of
-    them stays. Rows without doc_id have no identity to compare and all stay.
+    All columns stay. A row is known by its doc_id and text: rows of one doc_id
+    and different texts are judged by themselves, and of several in one component
+    one stays. Equal rows count as one. Rows without doc_id have no identity to
+    compare and all stay. An empty table gives an empty result.
     """
-    found = simhash_components(docs, radius, width)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_wl_id")).distinct()
-    at = docs.columns.index("doc_id")
+    scratch = Scratch(docs.sparkSession, "keepone")
+    doc, text = f"_{docs.columns.index('doc_id')}", f"_{docs.columns.index('text')}"
     plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    none = plain.where(F.col(f"_{at}").isNull())
-    once = plain.dropDuplicates([f"_{at}"]).join(kept, F.col(f"_{at}") == F.col("_wl_id")).drop("_wl_id")
-    return once.unionByName(none).toDF(*docs.columns)
+    plain = plain.withColumns({"_wl_1": F.xxhash64(text), "_wl_2": F.xxhash64(F.col(text), F.lit(1))})
+    texts = plain.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), "_wl_1", "_wl_2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [_signed(fingerprint(t.as_py(), width)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(fps, pa.int64())], names=["doc_id", "_wl_1", "_wl_2", "fp"])
+
+    rows = scratch.save(texts.mapInArrow(run, "doc_id long, _wl_1 long, _wl_2 long, fp long"), "fps")
+    first = rows.join(_classes(rows, radius, scratch), "fp").where("doc_id = component_id")
+    first = first.groupBy("root").agg(F.min(F.struct("doc_id", "_wl_1", "_wl_2")).alias("row")).select(F.col("row.doc_id").alias("_wl_id"), "row._wl_1", "row._wl_2").distinct()
+    once = plain.dropDuplicates([doc, "_wl_1", "_wl_2"]).withColumn("_wl_id", F.col(doc).cast("long")).join(first, ["_wl_id", "_wl_1", "_wl_2"], "left_semi")
+    none = plain.where(F.col(doc).isNull())
+    return once.select(*plain.columns).unionByName(none).drop("_wl_1", "_wl_2").toDF(*docs.columns)
