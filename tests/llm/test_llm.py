@@ -12,7 +12,6 @@ import corpus_pipeline
 import duckdb
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 from warpline.llm import bpe, fingerprints, grulm, langid, linededup, packing, quality, simhash, urlfilter, warc
 
 TEXTS = [None, "", " \n ", "one", "One two three", "a b c d e f g h i j k l", "a b c d e f g h i j k l", "é ß 漢字 " * 30, "x" * 5000, "The quick, brown fox.\nThe quick, brown fox.\nIt jumps!\n" * 20]
@@ -67,10 +66,11 @@ def test_simhash_masks_cover_every_small_difference():
 
 def test_lines_equal_all_pairs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    lines = linededup._lines(docs).withColumn("s", linededup.shingles(F.col("line"))).collect()
+    lines = linededup._lines(docs).collect()
     kinds, place = {}, {}
     for r in lines:
-        kinds[r.line] = set(r.s)
+        low = r.line.lower()
+        kinds[r.line] = {low[i : i + 12] for i in range(max(1, len(low) - 11))}
         place[r.line] = min(place.get(r.line, (1 << 62, 0)), (r.doc_id, r.line_no))
     names = list(kinds)
     parent, by = list(range(len(names))), defaultdict(list)

@@ -160,6 +160,8 @@ class BpeEncoder:
             last[at], size[at] = token, length
         out = []
         while n:
+            if last[n] < 0:
+                raise ValueError(f"the vocabulary has no token for a byte of {piece!r}")
             out.append(self._ids[last[n]])
             n -= size[n]
         return tuple(out[::-1])
