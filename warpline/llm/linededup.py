@@ -13,8 +13,10 @@
    probability 0.999. In a bucket every line is compared with one leader, so
    candidates grow with the rows and not with the square of a group. A pair whose
    signatures agree in fewer than ``AGREE`` bins is not compared (at similarity 0.8:
-   0.0004 of the pairs). Of the others the exact Jaccard similarity of their
-   shingle sets, made from the texts, decides.
+   0.0004 of the pairs). Maps of the places that the shingles' hashes take then
+   bound a pair's similarity from above, which loses no pair and rules most out. Of
+   the others the exact Jaccard similarity of their shingle sets, made from the
+   texts, decides.
 4. Union-find joins links. In a bucket that still holds several components, the
    lines outside its largest one are compared with that one's most
    central members. Then what is still outside is paired with all others: directly in a
@@ -47,6 +49,8 @@ SIMILARITY = 0.8
 HUBS = 8
 #: Members of a bucket up to which its pairs are made directly; beyond, by the prefix filter. Neither loses a pair.
 SMALL = 64
+#: Words of a line's map of places, a power of two.
+WORDS = 32
 #: Shingles that a task compares at a time, about.
 TASK_SHINGLES = 2_000_000
 #: Written tables are broadcast up to this many rows; beyond, they are joined by a shuffle.
@@ -114,11 +118,34 @@ def _agree(a: str, b: str) -> Column:
     return reduce(Column.__add__, [F.col(f"{a}.{m}").eqNullSafe(F.col(f"{b}.{m}")).cast("int") for m in _BINS]) >= AGREE
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _maps(texts: DataFrame) -> DataFrame:
+    """``(id, n, w0...)``: which of ``64 * WORDS`` places the hashes of a line's shingles take."""
+    each = texts.select("id", "n", _units(F.col("line")).alias("u")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    each = each.select("id", "n", _hash(F.col("u"), F.col("i")).alias("h"))
+    each = each.select("id", "n", F.expr(f"cast(shiftright(h, 6) & {WORDS - 1} as int)").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    return each.groupBy("id").agg(F.max("n").alias("n"), *[F.expr(f"coalesce(bit_or(bit) filter (where w = {j}), 0L)").alias(f"w{j}") for j in range(WORDS)])
+
+
+def _close(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs ``(a, b, n1, n2)`` whose maps of places allow ``SIMILARITY``.
+
+    A place that one line takes and the other does not is at least one shingle of
+    the one alone. So ``x`` and ``y`` such places bound the similarity by
+    ``(n - x) / (n + y)`` with the first line's count ``n``, and likewise by the second's.
+    """
+    side = lambda x: maps.select(F.col("id").alias(x), F.struct("n", *[f"w{j}" for j in range(WORDS)]).alias(f"m_{x}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    alone = lambda x, y: reduce(Column.__add__, [F.bit_count(F.col(f"{x}.w{j}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{j}")))) for j in range(WORDS)])
+    both = both.select("a", "b", F.col("m_a.n").alias("n1"), F.col("m_b.n").alias("n2"), alone("m_a", "m_b").alias("x"), alone("m_b", "m_a").alias("y"))
+    return both.where("n1 - x >= {0} * (n1 + y) - 1e-6 and n2 - y >= {0} * (n2 + x) - 1e-6".format(SIMILARITY)).drop("x", "y")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, scratch: Scratch) -> DataFrame:
     """The ``(a, b)`` of distinct pairs whose lines' shingle sets reach ``SIMILARITY``; ``texts(id, line, n)``.
 
-    Pairs are dealt out so that a task has about ``TASK_SHINGLES`` to count.
+    Pairs that ``_close`` leaves are dealt out so that a task has about ``TASK_SHINGLES`` to count.
     """
+    pairs = scratch.save(_close(pairs, maps), "close")
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("n").alias(f"n_{x}"))
     total = pairs.agg(F.sum(F.col("n1") + F.col("n2"))).first()[0] or 0
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").repartition(1 + total // TASK_SHINGLES, "a", "b")
@@ -232,11 +259,12 @@ def _classes(docs: DataFrame) -> DataFrame:
     held = pick(docs, "doc_id", "text").withColumn("_owner", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(_small(owners), "_owner", "left_semi")
     found = _lines(held).withColumn("first", _place(F.col("doc_id"), F.col("line_no"))).join(_small(wanted), ["h1", "h2", "first"])
     texts = scratch.save(found.groupBy("id").agg(F.first("line").alias("line")).withColumn("n", _count(_units(F.col("line")))), "texts")
+    maps = scratch.save(_maps(texts), "maps")
 
-    roots = scratch.save(components(_verified(near, texts), scratch), "roots")
+    roots = scratch.save(components(_verified(near, texts, maps, scratch), scratch), "roots")
     open_ = scratch.save(_open(buckets, roots), "open")
     again = scratch.save(_to_hubs(open_, scratch).join(near, ["a", "b"], "left_anti"), "hubs")
-    roots = scratch.save(components(_verified(again, texts).unionByName(_steps(roots)), scratch), "again")
+    roots = scratch.save(components(_verified(again, texts, maps, scratch).unionByName(_steps(roots)), scratch), "again")
     scratch.drop(open_)
     open_ = scratch.save(_open(buckets, roots), "last")
     large = open_.where(F.col("rows") > SMALL)
@@ -245,8 +273,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     done = near.select("a", "b").unionByName(again.select("a", "b"))
     far = far.dropDuplicates(["a", "b"]).join(done, ["a", "b"], "left_anti").join(done.toDF("b", "a"), ["a", "b"], "left_anti")
     far = scratch.save(far, "far")
-    roots = scratch.save(components(_verified(far, texts).unionByName(_steps(roots)), scratch), "components")
-    scratch.drop(buckets, near, again, wanted, owners, open_, prefixes, far, texts)
+    roots = scratch.save(components(_verified(far, texts, maps, scratch).unionByName(_steps(roots)), scratch), "components")
+    scratch.drop(buckets, near, again, wanted, owners, open_, prefixes, far, texts, maps)
 
     place = table.select("id", "h1", "h2", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")
     grouped = place.where("root is not null").groupBy("root").agg(F.min("first").alias("keep"))
