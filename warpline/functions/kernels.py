@@ -71,6 +71,16 @@ def _row_stat(v: Column) -> Column:
     return _at(_at(_lit2(ROWS), v % 5), v % 5)
 
 
+class Outer:
+    """An object whose method a kernel calls."""
+
+    def __init__(self, by: int) -> None:
+        self.by = by
+
+    def extern(self, v: Column) -> Column:
+        return v + F.lit(self.by)
+
+
 KERNELS: dict = {
     # functional programs
     "square_times": (lambda v: v * v * M, "double"),
@@ -93,19 +103,17 @@ KERNELS: dict = {
     "int_with_range": (lambda v: pair(v, _floats(v)), f"struct<_1:int,_2:{VEC}>"),
     "two_vector_sum": (lambda t: vsum(vadd(t["_1"], t["_2"])), "double"),
     "byte_sum": (lambda b: vsum(b, "int"), "int"),
-    "identity": (lambda v: v, "double"),
-    "square": (lambda v: v * v, "double"),
-    "sum_and_size": (lambda v: (vsum(v) + F.size(v)) * 42.0, "double"),
     "less_position": (lambda v: vsum(F.transform(v, lambda x, i: x - i)) * 42.0, "double"),
     "triples": (lambda v: F.transform(vseq(v), lambda i: i * 3.0), VEC),
     "wrapped_bytes": (_doubled_less, "int"),
-    "six_times_bytes": (lambda b: F.aggregate(F.transform(b, lambda x: x.cast("int") * 2 * 3), F.lit(0), lambda a, x: a + x), "int"),
     "cached_row": (lambda t: _at(_at(_lit2(STEPPED), t["_1"] % 5), t["_1"] % 5) + vsum(F.slice(t["_2"], 1, 5)), "double"),
     "constant_range": (lambda v: _floats(F.lit(5)), VEC),
     "nested": (lambda v: pair(v.cast("int"), pair(v, v.cast("double") + 12.0)), "struct<_1:int,_2:struct<_1:float,_2:double>>"),
     "nested_vector": (lambda v: pair(v.cast("int"), pair(v.cast("int") * 2, F.array(v.cast("double"), v.cast("double") + 1, v.cast("double") + 3))), f"struct<_1:int,_2:struct<_1:int,_2:{VEC}>>"),
     # generated kernels
     "plus3": (lambda v: v + 3, "int"),
+    "outer_plus3": (lambda v: Outer(3).extern(v), "int"),
+    "alloc_plus3": (lambda v: v + 3 + _at(F.array_repeat(F.lit(0), 5), 4) + _at(F.array_repeat(F.lit(0.0), 2), 1).cast("int"), "int"),
     "int_to_point": (lambda v: point(v + 1, v + 2, v + 3), POINT3),
     "point_shift": (lambda p: point(p["x"] + f32(1), p["y"] + f32(2), p["z"] + f32(3)), POINT3),
     "plus_captured": (lambda v: v + F.lit(1) + F.lit(2) + F.lit(3), "int"),

@@ -295,7 +295,7 @@ QUERIES: dict = {
     "E5_external_objects": (_map(X.ints, "plus_points"), _sql(X.ints, "(v + 0 + 4 + 8)::DOUBLE AS v")),
     "E6_external_scalar": (_map(X.ints, "plus4"), _sql(X.ints, "(v + 4)::BIGINT AS v")),
     "E7_external_function": (_map(X.points, "mutated_point", shape=_fields_of(**_P)), _sql(X.points, _xyz("x + 4::FLOAT", "y + 4::FLOAT", "z + 4::FLOAT"))),
-    "E8_class_function": (_map(X.ints, "plus3"), _sql(X.ints, "(v + 3)::BIGINT AS v")),
+    "E8_class_function": (_map(X.ints, "outer_plus3"), _sql(X.ints, "(v + 3)::BIGINT AS v")),
     "E9_tuple_input": (_map(X.int_pairs, "pair_sum"), _sql(X.int_pairs, "(a + b)::BIGINT AS v")),
     "E10_tuple_object_input": (_map(X.keyed_points, "point_sum"), _sql(X.keyed_points, _d("(x + y + z)::FLOAT"))),
     "E11_tuple_object_direct": (_map(X.keyed_points, "point_sum"), _sql(X.keyed_points, _d("(x + y + z)::FLOAT"))),
@@ -309,7 +309,7 @@ QUERIES: dict = {
     "E19_dense_input": (_map(X.vectors, "vector_sum"), _sql(X.vectors, _d(_SUM))),
     "E20_sparse_input": (_map(X.sparse_vectors, "sparse_sums", shape=_fields_of(**_AB)), _sql(X.sparse_vectors, "coalesce(list_sum(i), 0)::BIGINT AS a, round(coalesce(list_sum(w), 0), 6) AS b")),
     "E21_sparse_assign": (_map(X.sparse_vectors, "sparse_first", shape=_fields_of(**_AB)), _sql(X.sparse_vectors, "i[1]::BIGINT AS a, round(w[1], 6) AS b")),
-    "E22_array_alloc": (_map(X.ints, "plus3"), _sql(X.ints, "(v + 3)::BIGINT AS v")),
+    "E22_array_alloc": (_map(X.ints, "alloc_plus3"), _sql(X.ints, "(v + 3)::BIGINT AS v")),
     "E23_dense_output": (_map(X.ints, "doubled_range", shape=_elements), _unnested(X.ints, "list_transform(range(v), lambda i: 2 * i)")),
     "E24_sparse_output": (e24, "SELECT id, v AS size, pos, 10 * v AS i, (20 * v)::DOUBLE AS x FROM (SELECT p_partkey AS id, p_size::BIGINT AS v, unnest(range(p_size)) AS pos FROM part)"),
     "E25_array_broadcast": (_map(X.ints, "lookup"), _sql(X.ints, "(v % 5 + 1)::BIGINT AS v")),
