@@ -236,6 +236,9 @@ def test_sketches_merge_to_the_union(spark):
     rows = fingerprints.document_sketches(docs).selectExpr("1 as part", "sketch")
     got = fingerprints.merge_sketches(rows, "part").first().sketch
     assert [v + 2**63 for v in got] == [int(v) for v in merged]
+    keyed = fingerprints.document_sketches(docs).selectExpr("nullif(doc_id % 2, 0) as part", "sketch")
+    assert {r.part: len(r.sketch) for r in fingerprints.merge_sketches(keyed, "part").collect()} == {1: fingerprints.K, None: fingerprints.K}
+    assert fingerprints.merge_sketches(keyed.limit(0), "part").count() == 0
 
 
 # --- quality rules

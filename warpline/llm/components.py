@@ -24,7 +24,7 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
 
     Self-loops and repeated or reversed edges are allowed; rows with a null end
     are ignored. ``root`` is one node of the component, the same for all of it.
-    An empty edge table gives an empty result.
+    The result is a written table. An empty edge table gives an empty result.
     """
     e = edges.where("a is not null and b is not null and a <> b")
     e = scratch.save(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -50,9 +50,12 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     else:
         raise RuntimeError("union-find did not end")
     if not steps:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return scratch.save(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "labels")
+    scratch.drop(e)
     out = steps[-1].select("node", F.col("to").alias("root"))
     for step in reversed(steps[:-1]):
         up = out.select(F.col("node").alias("to"), F.col("root").alias("up"))
         out = step.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("root"))
+    out = scratch.save(out, "labels")
+    scratch.drop(*steps)
     return out

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from warpline.llm.bpe import _Words
 from warpline.plans.scratch import pick
@@ -32,6 +33,8 @@ WIDTH = 5
 #: Rows of one range, about, and the most ranges (their cuts go to the driver and back).
 RANGE_ROWS = 2048
 MAX_RANGES = 1 << 16
+#: Keys whose sketches a task merges at a time.
+HELD = 20_000
 _words = _Words(lambda w: xxhash.xxh64_intdigest(w, 42), 300_000)
 
 
@@ -111,10 +114,38 @@ def document_sketches(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFr
 
 
 def merge_sketches(rows: DataFrame, key: str, k: int = K) -> DataFrame:
-    """``(key, sketch)``: the merged sketch of each key. Each task keeps at most ``k`` hashes of a key before the shuffle."""
-    h = rows.select(key, F.explode("sketch").alias("h")).groupBy(key, "h").agg(F.lit(1).alias("one"))
+    """``(key, sketch)``: the merged sketch of each key of ``rows(key, sketch)``.
+
+    Tasks merge their own rows first, up to ``HELD`` keys at a time, so that a hot
+    key costs ``k`` hashes or little more from each task. A null sketch counts as empty.
+    """
+    kind = StructType([rows.schema[key], StructField("sketch", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def ended(column: pa.DataType) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), column), pa.array(list(held.values()), pa.list_(pa.int64()))], names=[key, "sketch"])
+            held.clear()
+            return out
+
+        column = None
+        for b in batches:
+            column = b.column(0).type
+            for name, s in zip(b.column(0).to_pylist(), b.column(1)):
+                new = s.values.to_numpy() if s.is_valid else np.zeros(0, dtype=np.int64)
+                held[name] = np.unique(np.concatenate([held[name], new]))[:k] if name in held else new
+                if len(held) > HELD:
+                    yield ended(column)
+        if held:
+            yield ended(column)
+
+    part = rows.select(key, "sketch").mapInArrow(run, kind)
+    names = part.select(key).distinct()
+    h = part.select(key, F.explode("sketch").alias("h")).distinct()
     low = h.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("h"))).where(F.col("r") <= k)
-    return low.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
+    merged = low.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias("sketch")).withColumnRenamed(key, "_key")
+    return names.join(merged, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("sketch", F.array().cast("array<bigint>")).alias("sketch"))
 
 
 def _search(cuts: list[int], x: Column) -> Column:

@@ -261,10 +261,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     texts = scratch.save(found.groupBy("id").agg(F.first("line").alias("line")).withColumn("n", _count(_units(F.col("line")))), "texts")
     maps = scratch.save(_maps(texts), "maps")
 
-    roots = scratch.save(components(_verified(near, texts, maps, scratch), scratch), "roots")
+    roots = components(_verified(near, texts, maps, scratch), scratch)
     open_ = scratch.save(_open(buckets, roots), "open")
     again = scratch.save(_to_hubs(open_, scratch).join(near, ["a", "b"], "left_anti"), "hubs")
-    roots = scratch.save(components(_verified(again, texts, maps, scratch).unionByName(_steps(roots)), scratch), "again")
+    roots = components(_verified(again, texts, maps, scratch).unionByName(_steps(roots)), scratch)
     scratch.drop(open_)
     open_ = scratch.save(_open(buckets, roots), "last")
     large = open_.where(F.col("rows") > SMALL)
@@ -273,7 +273,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     done = near.select("a", "b").unionByName(again.select("a", "b"))
     far = far.dropDuplicates(["a", "b"]).join(done, ["a", "b"], "left_anti").join(done.toDF("b", "a"), ["a", "b"], "left_anti")
     far = scratch.save(far, "far")
-    roots = scratch.save(components(_verified(far, texts, maps, scratch).unionByName(_steps(roots)), scratch), "components")
+    roots = components(_verified(far, texts, maps, scratch).unionByName(_steps(roots)), scratch)
     scratch.drop(buckets, near, again, wanted, owners, open_, prefixes, far, texts, maps)
 
     place = table.select("id", "h1", "h2", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")

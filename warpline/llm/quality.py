@@ -158,11 +158,18 @@ def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> float:
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 3) -> list[Rule]:
-    """Rules that find the rows where ``bad``, in order; none where either kind is missing."""
+    """Rules that find the rows where ``bad``, in order; none where either kind is missing.
+
+    A rule that is too weak is set aside with the rows that it covers, and the
+    next one is sought among the others; it is judged by all rows that no rule
+    covers yet.
+    """
     rng = np.random.default_rng(seed)
     rules: list[Rule] = []
-    live = np.arange(len(bad))
-    while len(rules) < MAX_RULES and bad[live].any() and not bad[live].all():
+    free = live = np.arange(len(bad))
+    for _ in range(2 * MAX_RULES):
+        if len(rules) == MAX_RULES or not bad[live].any() or bad[live].all():
+            break
         mixed = rng.permutation(live)
         grow, prune = mixed[: 2 * len(mixed) // 3], mixed[2 * len(mixed) // 3 :]
         of = lambda rows: {k: v[rows] for k, v in x.items()}
@@ -172,14 +179,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 3) -> list[Rule
             rule = rule[:-1]
         if not rule:
             break
-        hit = _covers(rule, of(live), len(live))
-        held_hit = _covers(rule, held, len(prune))
-        n, p = int(hit.sum()), int(bad[live][hit].sum())
+        hit, held_hit = _covers(rule, of(free), len(free)), _covers(rule, held, len(prune))
+        n, p = int(hit.sum()), int(bad[free][hit].sum())
         hn, hp = int(held_hit.sum()), int(bad[prune][held_hit].sum())
-        if n < MIN_COVER or p < MIN_PRECISION * n or (hn and hp < MIN_PRECISION * hn):
-            break
-        rules.append(rule)
-        live = live[~hit]
+        live = live[~_covers(rule, of(live), len(live))]
+        if n >= MIN_COVER and p >= MIN_PRECISION * n and hp >= MIN_PRECISION * hn:
+            rules.append(rule)
+            free = free[~hit]
     return rules
 
 

@@ -88,7 +88,7 @@ def linked(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     rows = scratch.save(members.join(leaders, ["t", "k"]), "buckets")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
     first = rows.where((F.col("fp") != F.col("leader")) & near(F.col("fp"), F.col("leader"))).select(F.col("fp").alias("a"), F.col("leader").alias("b"))
-    roots = scratch.save(components(first, scratch), "roots")
+    roots = components(first, scratch)
 
     labelled = rows.select("t", "k", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     labelled = scratch.save(labelled.select("t", "k", "fp", F.coalesce("root", "fp").alias("root")), "labelled")
@@ -102,7 +102,9 @@ def linked(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     # a single fingerprint gains its root only in the second pass
     known = roots.select(F.col("node").alias("fp"), "root").unionByName(second.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("fp").alias("root")))
     up = merged.select(F.col("node").alias("root"), F.col("root").alias("up"))
-    return scratch.save(known.join(up, "root", "left").select("fp", F.coalesce("up", "root").alias("root")), "linked")
+    out = scratch.save(known.join(up, "root", "left").select("fp", F.coalesce("up", "root").alias("root")), "linked")
+    scratch.drop(rows, roots, labelled, open_, second, merged)
+    return out
 
 
 def _classes(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
