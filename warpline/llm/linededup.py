@@ -126,6 +126,12 @@ def _maps(texts: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.max("n").alias("n"), *[F.expr(f"coalesce(bit_or(bit) filter (where w = {j}), 0L)").alias(f"w{j}") for j in range(WORDS)])
 
 
+def _of(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``lines(id, ...)`` that ``pairs(a, b)`` name, so that no others are shuffled to join them."""
+    named = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
+    return lines.join(_small(named), "id", "left_semi")
+
+
 def _close(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     """The pairs ``(a, b, n1, n2)`` whose maps of places allow ``SIMILARITY``.
 
@@ -145,7 +151,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, scratch: Scra
 
     Pairs that ``_close`` leaves are dealt out so that a task has about ``TASK_SHINGLES`` to count.
     """
-    pairs = scratch.save(_close(pairs, maps), "close")
+    pairs = scratch.save(_close(pairs, _of(pairs, maps, scratch)), "close")
+    texts = _of(pairs, texts, scratch)
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("n").alias(f"n_{x}"))
     total = pairs.agg(F.sum(F.col("n1") + F.col("n2"))).first()[0] or 0
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").repartition(1 + total // TASK_SHINGLES, "a", "b")
