@@ -4,10 +4,38 @@ from __future__ import annotations
 
 import random
 
-from warpline.llm import grulm, linededup
+import pytest
+
+from warpline.llm import grulm, linededup, simhash
 from warpline.plans.scratch import Scratch
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """(name, physical plan) of each table that is written, before it runs."""
+    found, save = [], Scratch.save
+
+    def note(self, df, name):
+        found.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", note)
+    return found
+
+
+def test_members_of_buckets_are_not_broadcast(spark, plans):
+    """They are 31 rows for each fingerprint, but Spark's estimate is the file of the fingerprints."""
+    rng = random.Random(3)
+    fps = [rng.getrandbits(63) for _ in range(200)]
+    fps += [x ^ (1 << rng.randrange(63)) for x in fps]
+    rows = spark.createDataFrame([(x,) for x in fps], "fp long")
+    scratch = Scratch(spark, "test")
+    got = simhash.linked(scratch.save(rows, "fps"), 4, scratch).collect()
+    assert len(got) == len(set(fps)) and len({r.root for r in got}) == 200
+    joins = {name: plan for name, plan in plans if name in ("buckets", "open", "second")}
+    assert len(joins) == 3 and not any("Broadcast" in plan for plan in joins.values())
+
+
 def _char_shingles(line, k=12):
     line = line.lower()
     return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}

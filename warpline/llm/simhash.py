@@ -14,6 +14,10 @@ with one leader, then union-find runs, and only members outside a bucket's
 largest component are compared with the rest of it. Every pair of a bucket is
 thus either compared or already in one component, so no link that matters is
 lost, and a bucket of thousands of copies costs one comparison for each.
+
+Joins of buckets are merged by a hint. Spark takes the members, a row for each
+fingerprint and table, to be as small as the fingerprints' file, and would send
+them all to the driver to broadcast them.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warpline.llm.components import components
-from warpline.plans.scratch import Scratch, pick
+from warpline.plans.scratch import Scratch, bounded, pick
 
 BITS = 64
 _BLOCK = 1 << 16
@@ -85,23 +89,25 @@ def linked(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     salt = F.xxhash64("t")
     leaders = members.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("fp").bitwiseXOR(salt)).alias("m")).where("n > 1")
     leaders = leaders.select("t", "k", F.col("m").bitwiseXOR(salt).alias("leader"))
-    rows = scratch.save(members.join(leaders, ["t", "k"]), "buckets")
+    rows = scratch.save(members.join(leaders.hint("merge"), ["t", "k"]), "buckets")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
     first = rows.where((F.col("fp") != F.col("leader")) & near(F.col("fp"), F.col("leader"))).select(F.col("fp").alias("a"), F.col("leader").alias("b"))
     roots = components(first, scratch)
 
-    labelled = rows.select("t", "k", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    labels = bounded(roots.select(F.col("node").alias("fp"), "root"))
+    labelled = rows.select("t", "k", "fp").join(labels, "fp", "left")
     labelled = scratch.save(labelled.select("t", "k", "fp", F.coalesce("root", "fp").alias("root")), "labelled")
     sizes = labelled.groupBy("t", "k", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("t", "k").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", "main")
-    open_ = scratch.save(labelled.join(main, ["t", "k"]), "open")
+    open_ = scratch.save(labelled.join(main.hint("merge"), ["t", "k"]), "open")
     few = open_.where("root <> main").select("t", "k", F.col("fp").alias("f1"), F.col("root").alias("a"))
     all_ = open_.select("t", "k", F.col("fp").alias("f2"), F.col("root").alias("b"))
-    second = scratch.save(few.join(all_, ["t", "k"]).where((F.col("a") != F.col("b")) & near(F.col("f1"), F.col("f2"))).select("a", "b").distinct(), "second")
+    second = scratch.save(few.join(all_.hint("merge"), ["t", "k"]).where((F.col("a") != F.col("b")) & near(F.col("f1"), F.col("f2"))).select("a", "b").distinct(), "second")
     merged = components(second, scratch)
     # a single fingerprint gains its root only in the second pass
-    known = roots.select(F.col("node").alias("fp"), "root").unionByName(second.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("fp").alias("root")))
-    up = merged.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    alone = second.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(labels.select("fp"), "fp", "left_anti")
+    known = roots.select(F.col("node").alias("fp"), "root").unionByName(alone.select("fp", F.col("fp").alias("root")))
+    up = bounded(merged.select(F.col("node").alias("root"), F.col("root").alias("up")))
     out = scratch.save(known.join(up, "root", "left").select("fp", F.coalesce("up", "root").alias("root")), "linked")
     scratch.drop(rows, roots, labelled, open_, second, merged)
     return out
@@ -110,7 +116,7 @@ def linked(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 def _classes(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     """``(fp, root, component_id)`` of every distinct ``fp`` of written ``rows(doc_id, fp)``; ``root`` tells components apart."""
     classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = linked(classes.select("fp"), radius, scratch)
+    roots = bounded(linked(classes.select("fp"), radius, scratch))
     in_root = classes.join(roots, "fp")
     least = in_root.groupBy("root").agg(F.min("first").alias("least"))
     grouped = in_root.join(least, "root").select("fp", "root", "least")
@@ -129,7 +135,7 @@ def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4) -> Data
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, width), "fps")
-    out = rows.join(_classes(rows, radius, scratch).drop("root"), "fp")
+    out = bounded(rows).join(_classes(rows, radius, scratch).drop("root"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -153,7 +159,7 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(fps, pa.int64())], names=["doc_id", "_wl_1", "_wl_2", "fp"])
 
     rows = scratch.save(texts.mapInArrow(run, "doc_id long, _wl_1 long, _wl_2 long, fp long"), "fps")
-    first = rows.join(_classes(rows, radius, scratch), "fp").where("doc_id = component_id")
+    first = bounded(rows).join(_classes(rows, radius, scratch), "fp").where("doc_id = component_id")
     first = first.groupBy("root").agg(F.min(F.struct("doc_id", "_wl_1", "_wl_2")).alias("row")).select(F.col("row.doc_id").alias("_wl_id"), "row._wl_1", "row._wl_2").distinct()
     once = plain.dropDuplicates([doc, "_wl_1", "_wl_2"]).withColumn("_wl_id", F.col(doc).cast("long")).join(first, ["_wl_id", "_wl_1", "_wl_2"], "left_semi")
     none = plain.where(F.col(doc).isNull())

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Rows of a written table of few numbers that the driver may get for a broadcast.
+BROADCAST_ROWS = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,6 +66,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def bounded(table: DataFrame) -> DataFrame:
+    """A written table as a side of a join; beyond ``BROADCAST_ROWS`` rows it is merged and never broadcast.
+
+    By itself Spark goes by the bytes on disk, of which a row may have far
+    fewer than in the driver's memory.
+    """
+    return table if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and no others, found by exact spelling.
 
