@@ -7,6 +7,8 @@ import random
 import pytest
 
 from warpline.llm import grulm, linededup, simhash
+from warpline.llm.components import components
+from warpline.plans import scratch as tables
 from warpline.plans.scratch import Scratch
 
 
@@ -85,3 +87,13 @@ def test_network_learns_from_every_token(spark, monkeypatch):
     learned = grulm.fit(docs, lex, net, total, Scratch(spark, "fit"))
     assert len(learned) == grulm.ROUNDS and sum(learned) == tokens
     assert (grulm.score(net, ids) > before).all()
+
+
+def test_large_steps_of_union_find_are_not_broadcast(spark, plans, monkeypatch):
+    """However few bytes their files have."""
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 20, raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    got = components(edges, Scratch(spark, "test")).collect()
+    assert len(got) == 61 and len({r.root for r in got}) == 1
+    first = next(plan for name, plan in plans if name == "edges0")
+    assert "SortMergeJoin" in first and "Broadcast" not in first

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warpline.plans.scratch import Scratch
+from warpline.plans.scratch import Scratch, bounded
 
 
 def _spread(c: Column, r: int) -> Column:
@@ -41,8 +41,9 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         )
         step = scratch.save(step, f"step{r}")
         steps.append(step)
-        left = step.select(F.col("node").alias("a"), F.col("to").alias("ta"))
-        right = step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        held = bounded(step)
+        left = held.select(F.col("node").alias("a"), F.col("to").alias("ta"))
+        right = held.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         moved = e.join(left, "a").join(right, "b").where("ta <> tb")
         nxt = scratch.save(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"edges{r}")
         scratch.drop(e)
@@ -52,7 +53,7 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     if not steps:
         return scratch.save(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "labels")
     scratch.drop(e)
-    out = steps[-1].select("node", F.col("to").alias("root"))
+    out = bounded(steps[-1]).select("node", F.col("to").alias("root"))
     for step in reversed(steps[:-1]):
         up = out.select(F.col("node").alias("to"), F.col("root").alias("up"))
         out = step.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("root"))
