@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
-from warpline.llm import grulm, linededup, simhash
+from warpline.llm import grulm, langid, linededup, simhash
 from warpline.llm.components import components
 from warpline.plans import scratch as tables
 from warpline.plans.scratch import Scratch
@@ -97,3 +99,20 @@ def test_large_steps_of_union_find_are_not_broadcast(spark, plans, monkeypatch):
     assert len(got) == 61 and len({r.root for r in got}) == 1
     first = next(plan for name, plan in plans if name == "edges0")
     assert "SortMergeJoin" in first and "Broadcast" not in first
+
+
+def test_language_sample_costs_the_driver_little_beyond_its_arrays(spark):
+    """The buckets and shares stay in Arrow memory; as Python numbers they took ten times that."""
+    rng = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyz     ")
+    docs = spark.createDataFrame([(i, "".join(rng.choice(letters, 30_000)), "xy"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    tracemalloc.start()
+    got = langid.labelled_sample(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    texts = {r.doc_id: r for r in docs.collect()}
+    assert len(got) == 40 and sum(len(u) for _, u, _ in got) > 400_000
+    for i in (0, 39):
+        at, share = langid.shares_of(texts[i].text)
+        assert got[i][0] == texts[i].lang and np.array_equal(got[i][1], at) and np.array_equal(got[i][2], share)
+    assert peak < 8 << 20

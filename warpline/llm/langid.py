@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +203,14 @@ def fold(mod: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def _arrays(lists: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """The rows of a column of lists, as views of its memory and not as Python numbers."""
+    for chunk in lists.chunks:
+        values = chunk.values.to_numpy()
+        for a, b in pairwise(chunk.offsets.to_pylist()):
+            yield values[a:b]
+
+
 def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """About ``per_lang`` rows (lang, buckets, shares) of each language, by a hash of doc_id.
 
@@ -224,7 +233,7 @@ def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tu
 
     cut = rows.join(F.broadcast(seen), "lang").where(draw < F.col("_share")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     got = cut.mapInArrow(features, "doc_id long, lang string, at array<int>, share array<float>").limit(2 * per_lang * langs).toArrow()
-    found = [(x, np.array(u, dtype=np.int32), np.array(c, dtype=np.float32), d) for d, x, u, c in zip(*(got.column(n).to_pylist() for n in ("doc_id", "lang", "at", "share")))]
+    found = list(zip(got.column("lang").to_pylist(), _arrays(got.column("at")), _arrays(got.column("share")), got.column("doc_id").to_pylist()))
     found.sort(key=lambda r: (r[3] is None, r[3] or 0, r[0], len(r[1])))
     return [r[:3] for r in found]
 
