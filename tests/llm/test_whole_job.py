@@ -116,3 +116,49 @@ def test_language_sample_costs_the_driver_little_beyond_its_arrays(spark):
         at, share = langid.shares_of(texts[i].text)
         assert got[i][0] == texts[i].lang and np.array_equal(got[i][1], at) and np.array_equal(got[i][2], share)
     assert peak < 8 << 20
+
+
+def test_training_costs_no_more_than_the_lanes_that_go_on(monkeypatch):
+    """One long piece among short ones: lanes that have ended are not computed to its end, and the loss stays."""
+    rng = np.random.default_rng(6)
+    counts, shapes = np.arange(64, 0, -1.0), np.ones(grulm.SHAPES)
+    docs = [rng.integers(0, 64, n).astype(np.int32) for n in [2000] + [40] * 255]
+    cells, gradients, losses = [], grulm.gradients, []
+
+    def noted(net, ids, *rest):
+        cells.append(ids.size)
+        out = gradients(net, ids, *rest)
+        losses.append(out[0])
+        return out
+
+    monkeypatch.setattr(grulm, "gradients", noted)
+    net = grulm.new_network(counts, shapes)
+    loss, seen = grulm.Trainer(net, 200).run(docs)
+    assert seen == sum(map(len, docs)) and loss == pytest.approx(sum(losses))
+    # the same with lanes that go on and count for nothing
+    plain = grulm.Trainer(grulm.new_network(counts, shapes), 200)
+    monkeypatch.setattr(grulm, "_windows", lambda *a, f=grulm._windows: ((i, t, fr, _whole(v), n) for i, t, fr, v, n in f(*a)))
+    monkeypatch.setattr(grulm, "gradients", lambda net, i, t, fr, v, h: gradients(net, i, t, fr, v.true, h))
+    assert plain.run(docs)[0] == pytest.approx(loss, rel=1e-5)
+    assert sum(cells) <= 2 * seen
+
+
+class _Whole(np.ndarray):
+    """Says that all lanes go on, and holds which do."""
+
+
+def _whole(valid):
+    out = np.ones_like(valid).view(_Whole)
+    out.true = valid
+    return out
+
+
+def test_long_texts_that_wait_are_scored_like_others(spark):
+    """Each row comes out once, in whichever pool its text waits."""
+    long = ["one two three " * n for n in (700, 900, 700, 1)]
+    docs = spark.createDataFrame([(i, long[i % 4] if i % 3 else None) for i in range(24)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in grulm.language_model_scores(docs.repartition(2)).collect()}
+    assert sorted(rows) == list(range(24))
+    assert all(r.n_tokens == len((long[i % 4] if i % 3 else "").split()) + 1 for i, r in rows.items())
+    for i in range(12):
+        assert rows[i].score == pytest.approx(rows[i + 12].score, rel=1e-4)

@@ -43,6 +43,8 @@ HIDDEN = 32
 SHARD_TOKENS, ROUNDS = 2_000_000, 2
 #: Tokens of the pieces that longer documents are cut into for training, and tokens that a shard holds at a time.
 PIECE, BLOCK = 2_000, 256_000
+#: Tokens of texts longer than a piece that a task holds for scoring.
+LONG_BLOCK = 2_000_000
 LANES, WINDOW, RATE = 256, 20, 0.01
 SCORE_LANES, SCORE_WINDOW = 384, 32
 #: Steps of the lanes that are laid out at a time.
@@ -141,7 +143,7 @@ def _forward(net: Network, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, ke
     Lanes are the last axis inside, so that each gate is one block of memory.
     """
     hid = net.u.shape[0]
-    gx = np.ascontiguousarray((net.x[ids] + net.b).transpose(0, 2, 1))
+    inputs = np.ascontiguousarray((net.x + net.b).T)
     across = np.ascontiguousarray(net.u.T)
     now = np.ascontiguousarray(h.T)
     states = np.empty((len(ids), hid, ids.shape[1]), dtype=now.dtype)
@@ -150,13 +152,14 @@ def _forward(net: Network, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, ke
         if fresh[t].any():
             now = now * (1 - fresh[t])
         a = across @ now
-        g = gx[t, : 2 * hid] + a[: 2 * hid]
+        gx = inputs.take(ids[t], axis=1, mode="clip")
+        g = gx[: 2 * hid] + a[: 2 * hid]
         np.negative(g, out=g)
         np.exp(np.minimum(g, 60, out=g), out=g)
         g += 1
         np.reciprocal(g, out=g)
         r, z, rest = g[:hid], g[hid:], a[2 * hid :]
-        n = np.tanh(gx[t, 2 * hid :] + r * rest)
+        n = np.tanh(gx[2 * hid :] + r * rest)
         new = n + z * (now - n)
         if keep:
             saved.append((now, r, z, n, rest))
@@ -240,7 +243,13 @@ class Trainer:
         lanes = min(LANES, max(1, len(docs)))
         h = np.zeros((lanes, net.u.shape[0]), dtype=np.float32)
         loss, seen = 0.0, 0
+        alive = np.arange(lanes)
         for ids, target, fresh, valid, _ in _windows(net, docs, lanes, WINDOW):
+            left = valid[0, alive]
+            if not left.all():  # lanes that have ended add nothing to any gradient
+                alive, h = alive[left], h[left]
+            if len(alive) < lanes:
+                ids, target, fresh, valid = (a[:, alive] for a in (ids, target, fresh, valid))
             lost, count, grads, h = gradients(net, ids, target, fresh, valid, h)
             if not count:
                 continue
@@ -338,8 +347,8 @@ class Lexicon:
         """(head positions or -1, network ids)."""
         at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         ids = self.ids[at].astype(np.int32) if len(self.ids) else np.zeros(len(at), dtype=np.int32)
-        for i in np.flatnonzero(at < 0):
-            ids[i] = self.words + shape(words[i])
+        rare = np.flatnonzero(at < 0).tolist()
+        ids[rare] = [self.words + shape(words[i]) for i in rare]
         return at, ids
 
 
@@ -529,31 +538,35 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexic, model = sent.value
 
-        def scored(part: pa.RecordBatch, seqs: list, stats: list, tails: list) -> pa.RecordBatch:
-            lm = score(model, seqs) / math.log(10)
-            cols = list(zip(*stats)) or [()] * 4
-            own = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array([float(a + c) for a, c in zip(lm, cols[3])], pa.float64())]
+        def scored(part: list[tuple]) -> pa.RecordBatch:
+            keys, seqs, stats, tails = zip(*part)
+            lm = score(model, list(seqs)) / math.log(10)
+            cols = list(zip(*stats))
+            own = [pa.array(c, kind) for c, kind in zip(zip(*keys), (pa.int64(), pa.int64(), pa.bool_()))]
+            own += [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array([float(a + c) for a, c in zip(lm, cols[3])], pa.float64())]
             own += [pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *own], names=["uid", "doc_id", "held_out", "n_tokens", "known", "head", "lm", "tail", "times"])
+            return pa.RecordBatch.from_arrays(own, names=["uid", "doc_id", "held_out", "n_tokens", "known", "head", "lm", "tail", "times"])
 
+        # long texts wait for each other, so that their many steps have many lanes
+        pools, held = [[], []], [0, 0]
         for b in batches:
-            seqs, stats, tails, first, held = [], [], [], 0, 0
-            for i, t in enumerate(b.column(3)):
+            for *key, t in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 words = words_of(t.as_py())
                 at, ids = lexic.encode(words)
                 known = at[at >= 0]
                 rare = ids - model.words
                 norm = lexic.shape_norm[rare[rare >= 0]].sum()
                 rare_head = known[known >= model.words]
-                tails.append(Counter([words[j] for j in np.flatnonzero(at < 0)]))
-                seqs.append(ids)
-                stats.append((len(words), len(known), float(lexic.log_c[known].sum()) if len(known) else 0.0, (float(lexic.log_c[rare_head].sum()) if len(rare_head) else 0.0) - float(norm)))
-                held += len(words)
-                if held > BLOCK:
-                    yield scored(b.slice(first, i + 1 - first), seqs, stats, tails)
-                    seqs, stats, tails, first, held = [], [], [], i + 1, 0
-            if seqs:
-                yield scored(b.slice(first), seqs, stats, tails)
+                tail = Counter([words[j] for j in np.flatnonzero(at < 0).tolist()])
+                stats = (len(words), len(known), float(lexic.log_c[known].sum()) if len(known) else 0.0, (float(lexic.log_c[rare_head].sum()) if len(rare_head) else 0.0) - float(norm))
+                k = int(len(ids) > PIECE)
+                pools[k].append((key, ids, stats, tail))
+                held[k] += len(ids)
+                if held[k] > (BLOCK, LONG_BLOCK)[k]:
+                    yield scored(pools[k])
+                    pools[k], held[k] = [], 0
+        for part in filter(None, pools):
+            yield scored(part)
 
     numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
     done = scratch.save(numbered.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, known long, head double, lm double, tail array<binary>, times array<int>"), "scored")
