@@ -7,7 +7,9 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from warpline.llm import components as union_find
 from warpline.llm import grulm, langid, linededup, simhash
 from warpline.llm.components import components
 from warpline.plans import scratch as tables
@@ -162,3 +164,49 @@ def test_long_texts_that_wait_are_scored_like_others(spark):
     assert all(r.n_tokens == len((long[i % 4] if i % 3 else "").split()) + 1 for i, r in rows.items())
     for i in range(12):
         assert rows[i].score == pytest.approx(rows[i + 12].score, rel=1e-4)
+
+
+def test_a_line_hash_is_made_once_for_each_place(spark, plans):
+    """The filter of a line's small hashes made every hash of a short line once more."""
+    docs = spark.createDataFrame([(1, "a line of some words")], "doc_id long, text string")
+    linededup.line_classes(docs).collect()
+    plan = next(p for name, p in plans if name == "signatures")
+    tests = [x for x in plan.splitlines() if "Filter" in x and "xxhash64" in x]
+    assert tests and all(x.count("xxhash64") == 1 and "cut" in x.split("xxhash64")[0] for x in tests)
+
+
+def test_pairs_are_compared_by_arrays_and_long_ones_by_rows(spark, plans, monkeypatch):
+    """Every shingle of every pair was a row of two aggregations; both ways give the same classes."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (60, 90, 300)]
+    lines = [x[:i] + "q" + x[i:] for x in base for i in (0, 7, 40)] + base
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    run = lambda: sorted(tuple(r) for r in linededup.line_classes(docs).collect())
+    short = run()
+    used = [p for name, p in plans if name in ("edges", "links")]
+    assert any("array_intersect" in p for p in used) and not any("bit_or" in p for p in used)
+    del plans[:]
+    monkeypatch.setattr(linededup, "ARRAY_SHINGLES", 150)
+    assert run() == short and len({r[2:4] for r in short}) < len(short)
+    used = [p for name, p in plans if name in ("edges", "links")]
+    assert any("array_intersect" in p and "bit_or" in p for p in used)
+
+
+def test_further_links_take_only_the_roots_they_name(spark, monkeypatch):
+    """Every node and its root were edges again, for another run of as many rounds."""
+    seen = []
+    monkeypatch.setattr(union_find, "components", lambda edges, scratch: seen.append(edges.count()) or components(edges, scratch))
+    scratch = Scratch(spark, "test")
+    link = lambda *pairs: spark.createDataFrame(pairs, "a long, b long")
+    roots = components(link(*[(0, i) for i in range(1, 200)], (300, 301), (400, 401)), scratch)
+    assert union_find.extended(roots, link((1, 2)).limit(0), scratch) is roots
+    got = {r.node: r.root for r in union_find.extended(roots, link((5, 301), (7, 301), (500, 501), (9, 10), (None, 3)), scratch).collect()}
+    groups = [{*range(200), 300, 301}, {400, 401}, {500, 501}]
+    assert set(got) == set().union(*groups) and all(len({got[x] for x in g}) == 1 and got[min(g)] in g for g in groups)
+    assert len(set(got.values())) == 3 and seen == [5]
+
+
+def test_union_find_rounds_share_their_code(spark):
+    """A number of the round was written into the code, and each round's code was compiled anew."""
+    code = lambda r: spark.range(3).select(union_find._spread(F.col("id"), r))._jdf.queryExecution().debug().codegenToSeq().apply(0)._2()
+    assert code(0) == code(1)

@@ -16,7 +16,8 @@ from warpline.plans.scratch import Scratch, bounded
 
 
 def _spread(c: Column, r: int) -> Column:
-    return F.xxhash64(c, F.lit(r))
+    """Priority in round ``r``, a string so that all rounds share their generated code (numbers are written into it)."""
+    return F.xxhash64(c, F.lit(str(r)))
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -60,3 +61,18 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     out = scratch.save(out, "labels")
     scratch.drop(*steps)
     return out
+
+
+def extended(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``components``' table ``roots(node, root)`` after further ``links(a, b)``; only the roots that these name take part."""
+    links = scratch.save(links, "links")
+    if links.isEmpty():
+        return roots
+    held = bounded(roots)
+    side = lambda x: held.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    ends = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    new = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), scratch)
+    up = bounded(new).select(F.col("node").alias("root"), F.col("root").alias("up"))
+    old = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    first = new.join(held.select("node"), "node", "left_anti").select("node", "root")
+    return scratch.save(old.unionByName(first), "labels")

@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warpline.llm.components import components
+from warpline.llm.components import components, extended
 from warpline.plans.scratch import Scratch, pick
 
 SHINGLE = 12
@@ -53,6 +53,8 @@ SMALL = 64
 WORDS = 32
 #: Shingles that a task compares at a time, about.
 TASK_SHINGLES = 2_000_000
+#: Shingles of a pair of lines up to which they are compared as arrays; beyond, as rows. Both are exact.
+ARRAY_SHINGLES = 1 << 18
 #: Written tables are broadcast up to this many rows; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LINE_BASE = 1 << 32
@@ -97,11 +99,13 @@ def _signatures(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("n", _count(F.col("u")))
     rows = rows.withColumn("cut", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / KEPT)).cast("int")))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    # unsigned order: the small hashes are those whose first ``cut`` bits are zero
+    # unsigned order: the small hashes are those whose first ``cut`` bits are zero;
+    # the filter goes below the hash, so it hashes by itself, and only where lines are long
     rows = rows.withColumn("h", _hash(F.col("u"), F.col("i")))
     small = F.expr("cut = 0 or shiftrightunsigned(h, 64 - cut) = 0")
+    rows = rows.where((F.col("cut") == 0) | (F.col("i") == 1) | small)
     rows = rows.withColumn("z", F.when(small, F.expr(f"cast(shiftright((h & 16777215) * {len(_BINS)}, 24) as int)")).otherwise(F.lit(-1)))
-    rows = rows.where("z >= 0 or i = 1").withColumn("v", F.expr(f"cast(shiftright(h ^ {-(1 << 63) + 1}L ^ 1L, 32) as int)"))
+    rows = rows.withColumn("v", F.expr(f"cast(shiftright(h ^ {-(1 << 63) + 1}L ^ 1L, 32) as int)"))
     mins = [F.expr(f"min(v) filter (where z = {j})").alias(m) for j, m in enumerate(_BINS)]
     found = rows.groupBy("h1", "h2").agg(F.expr("min(place) filter (where i = 1)").alias("first"), F.max("n").alias("n"), *mins)
     return found.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", *_BINS)
@@ -154,9 +158,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, scratch: Scra
     pairs = scratch.save(_close(pairs, _of(pairs, maps, scratch)), "close")
     texts = _of(pairs, texts, scratch)
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("n").alias(f"n_{x}"))
-    total = pairs.agg(F.sum(F.col("n1") + F.col("n2"))).first()[0] or 0
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").repartition(1 + total // TASK_SHINGLES, "a", "b")
+    sizes = pairs.agg(F.sum(F.col("n1") + F.col("n2")).alias("all"), F.max(F.col("n1") + F.col("n2")).alias("most")).first()
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").repartition(1 + (sizes["all"] or 0) // TASK_SHINGLES, "a", "b")
     both = both.select("a", "b", _units(F.col("line_a")).alias("x"), _units(F.col("line_b")).alias("y"), "n_a", "n_b")
+    if (sizes["most"] or 0) <= ARRAY_SHINGLES:
+        return _by_arrays(both)
+    short = F.col("n_a") + F.col("n_b") <= ARRAY_SHINGLES
+    return _by_arrays(both.where(short)).unionByName(_by_rows(both.where(~short)))
+
+
+def _by_arrays(both: DataFrame) -> DataFrame:
+    """The ``(a, b)`` of ``both(a, b, x, y, n_a, n_b)`` that reach ``SIMILARITY``; a line's hashes are one array.
+
+    The outer function holds the units, which the optimizer would else make anew for each shingle.
+    """
+    hashes = lambda u, n: F.get(F.transform(F.array(F.col(u)), lambda v: F.transform(F.sequence(F.lit(1), F.col(n)), lambda i: _hash(v, i))), F.lit(0))
+    sets = both.select("a", "b", hashes("x", "n_a").alias("x"), hashes("y", "n_b").alias("y"))
+    sizes = sets.select("a", "b", F.size(F.array_union("x", "y")).alias("any"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return sizes.where(F.col("common") / F.col("any") >= SIMILARITY).select("a", "b")
+
+
+def _by_rows(both: DataFrame) -> DataFrame:
+    """What ``_by_arrays`` does, a row for each shingle, so that lines of any length fit a task's memory."""
     each = both.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_a") + F.col("n_b"))))
     first = F.col("i") <= F.col("n_a")
     each = each.select("a", "b", _hash(F.when(first, F.col("x")).otherwise(F.col("y")), F.when(first, F.col("i")).otherwise(F.col("i") - F.col("n_a"))).alias("h"), F.when(first, 1).otherwise(2).alias("side"))
@@ -239,10 +262,6 @@ def _beyond(open_: DataFrame, prefixes: DataFrame) -> DataFrame:
     return both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"))
 
 
-def _steps(roots: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
 def _classes(docs: DataFrame) -> DataFrame:
     """``(doc_id, t1, t2, line_no, place, keep)`` of every line; ``keep`` is the place of its class that stays."""
     scratch = Scratch(docs.sparkSession, "linededup")
@@ -271,7 +290,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     roots = components(_verified(near, texts, maps, scratch), scratch)
     open_ = scratch.save(_open(buckets, roots), "open")
     again = scratch.save(_to_hubs(open_, scratch).join(near, ["a", "b"], "left_anti"), "hubs")
-    roots = components(_verified(again, texts, maps, scratch).unionByName(_steps(roots)), scratch)
+    roots = extended(roots, _verified(again, texts, maps, scratch), scratch)
     scratch.drop(open_)
     open_ = scratch.save(_open(buckets, roots), "last")
     large = open_.where(F.col("rows") > SMALL)
@@ -280,7 +299,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     done = near.select("a", "b").unionByName(again.select("a", "b"))
     far = far.dropDuplicates(["a", "b"]).join(done, ["a", "b"], "left_anti").join(done.toDF("b", "a"), ["a", "b"], "left_anti")
     far = scratch.save(far, "far")
-    roots = components(_verified(far, texts, maps, scratch).unionByName(_steps(roots)), scratch)
+    roots = extended(roots, _verified(far, texts, maps, scratch), scratch)
     scratch.drop(buckets, near, again, wanted, owners, open_, prefixes, far, texts, maps)
 
     place = table.select("id", "h1", "h2", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")
