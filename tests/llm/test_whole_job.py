@@ -210,3 +210,18 @@ def test_union_find_rounds_share_their_code(spark):
     """A number of the round was written into the code, and each round's code was compiled anew."""
     code = lambda r: spark.range(3).select(union_find._spread(F.col("id"), r))._jdf.queryExecution().debug().codegenToSeq().apply(0)._2()
     assert code(0) == code(1)
+
+
+def test_large_tables_of_line_dedup_send_a_map_of_their_keys(spark, plans, monkeypatch):
+    """Leaders and places were broadcast whole up to a million rows, and the driver built their tables."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, x + "q" * (i // 6)) for i, x in enumerate(base * 3)], "doc_id long, text string")
+    run = lambda: sorted(tuple(r) for r in linededup.line_classes(docs).collect())
+    whole = run()
+    assert not any(name == "map" for name, _ in plans) and sum(r[4] for r in whole) == 6
+    del plans[:]
+    monkeypatch.setattr(linededup, "WHOLE_ROWS", 3)
+    assert run() == whole
+    assert sum(name == "map" for name, _ in plans) == 2
+    assert all("_bits" in p and "SortMergeJoin" in p for name, p in plans if name in ("buckets", "texts"))

@@ -55,6 +55,8 @@ WORDS = 32
 TASK_SHINGLES = 2_000_000
 #: Shingles of a pair of lines up to which they are compared as arrays; beyond, as rows. Both are exact.
 ARRAY_SHINGLES = 1 << 18
+#: Rows of a written table up to which a join sends it whole; a larger one sends a map of its keys first.
+WHOLE_ROWS = 100_000
 #: Written tables are broadcast up to this many rows; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LINE_BASE = 1 << 32
@@ -193,6 +195,23 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` joined with a written ``table`` that few of them match, so that neither all rows are shuffled nor the table goes to the driver.
+
+    A map with 16 bits for each of the table's rows, in words of 64, is broadcast; the rows that it
+    lets through, some of them wrongly, are joined by a shuffle. A small table is broadcast, and a map beyond the bound is not made.
+    """
+    n = table.count()
+    if n <= WHOLE_ROWS or n > BROADCAST_ROWS:
+        return rows.join(_small(table), on)
+    words = n // 4
+    key = F.xxhash64(*on)
+    word, bit = F.pmod(key, F.lit(words)).cast("int"), F.expr(f"shiftleft(1L, cast(shiftright(xxhash64({', '.join(on)}), 40) & 63 as int))")
+    taken = scratch.save(table.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")), "map")
+    through = rows.withColumn("_word", word).join(F.broadcast(taken), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+    return through.join(table.hint("merge"), on)
+
+
 def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, but for the leaders, of buckets where these are of several components: ``main`` is the largest one, ``rows`` the number of members."""
     labelled = buckets.where("members > 2 and id <> leader").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -272,7 +291,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     salt = F.xxhash64("k")
     leaders = rows.groupBy("k").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("id").bitwiseXOR(salt)).alias("m")).where("members > 1")
     leaders = scratch.save(leaders.select("k", "members", F.col("m").bitwiseXOR(salt).alias("leader")), "leaders")
-    buckets = scratch.save(rows.join(_small(leaders), "k"), "buckets")
+    buckets = scratch.save(_joined(rows, leaders, ["k"], scratch), "buckets")
     scratch.drop(leaders)
     heads = buckets.where("id = leader").select("k", F.col("sig").alias("b"), F.col("n").alias("n2"))
     near = buckets.where("id <> leader").withColumnRenamed("sig", "a").join(heads, "k").where(_agree("a", "b"))
@@ -283,7 +302,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     owner = ((F.col("first") - F.col("first") % F.lit(_LINE_BASE).cast("decimal(11,0)")) / F.lit(_LINE_BASE).cast("decimal(11,0)")).cast("decimal(20,0)").cast("long")
     owners = scratch.save(wanted.select(owner.alias("_owner")).distinct(), "owners")
     held = pick(docs, "doc_id", "text").withColumn("_owner", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(_small(owners), "_owner", "left_semi")
-    found = _lines(held).withColumn("first", _place(F.col("doc_id"), F.col("line_no"))).join(_small(wanted), ["h1", "h2", "first"])
+    found = _joined(_lines(held).withColumn("first", _place(F.col("doc_id"), F.col("line_no"))), wanted, ["h1", "h2", "first"], scratch)
     texts = scratch.save(found.groupBy("id").agg(F.first("line").alias("line")).withColumn("n", _count(_units(F.col("line")))), "texts")
     maps = scratch.save(_maps(texts), "maps")
 
