@@ -225,3 +225,21 @@ def test_large_tables_of_line_dedup_send_a_map_of_their_keys(spark, plans, monke
     assert run() == whole
     assert sum(name == "map" for name, _ in plans) == 2
     assert all("_bits" in p and "SortMergeJoin" in p for name, p in plans if name in ("buckets", "texts"))
+
+
+def test_a_window_takes_two_softmaxes_whatever_its_classes(monkeypatch):
+    """Each class of words had its own; the log-probabilities are those of the plain formula."""
+    rng = np.random.default_rng(2)
+    net = grulm.new_network(np.arange(200, 0, -1.0), np.ones(grulm.SHAPES), hidden=8)
+    net.wc[:], net.wo[:] = rng.normal(0, 1, net.wc.shape), rng.normal(0, 1, net.wo.shape)
+    states = rng.normal(0, 1, (300, 8)).astype(np.float32)
+    target = rng.integers(0, net.words + grulm.SHAPES, 300)
+    calls, softmax = [], grulm._softmax
+    monkeypatch.setattr(grulm, "_softmax", lambda z, k: calls.append(z.shape) or softmax(z, k))
+    got = grulm._log_probs(net, states, target)
+    assert calls == [(300, net.word_classes + grulm.SHAPES), (int((target < net.words).sum()), grulm.CLASS_SIZE)]
+    plain = lambda z: z - np.log(np.exp(z - z.max()).sum()) - z.max()
+    for s, y, lp in zip(states.astype(np.float64), target, got):
+        c = int(net.class_of(y))
+        want = plain(s @ net.wc + net.bc)[c] + (plain(s @ net.wo[c] + net.bo[c])[y % grulm.CLASS_SIZE] if y < net.words else 0.0)
+        assert abs(lp - want) < 1e-4

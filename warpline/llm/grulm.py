@@ -123,18 +123,31 @@ def new_network(word_counts: np.ndarray, shape_counts: np.ndarray, hidden: int =
     )
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+def _runs(classes: np.ndarray, limit: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Positions of the classes below ``limit`` in order of class, and each class's part of them."""
+    order = np.argsort(classes.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(classes[order], np.arange(limit + 1)).tolist()
+    return order[: cuts[limit]], [(c, slice(cuts[c], cuts[c + 1])) for c in range(limit) if cuts[c + 1] > cuts[c]]
 
 
-def _runs(classes: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, positions) for the classes below ``limit``."""
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(limit + 1))
-    for c in range(limit):
-        if cuts[c + 1] > cuts[c]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+def _word_logits(net: Network, s: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+    """(M, CLASS_SIZE) logits inside their classes of states ``s`` in order of class."""
+    z = np.empty((len(s), CLASS_SIZE), dtype=s.dtype)
+    for c, own in parts:
+        np.matmul(s[own], net.wo[c], out=z[own])
+        z[own] += net.bo[c]
+    return z
+
+
+def _softmax(z: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities by row, in place of the logits, and the log-probability of each row's ``k``."""
+    rows = np.arange(len(z))
+    z -= z.max(axis=-1, keepdims=True)
+    picked = z[rows, k]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], dtype=z.dtype)
+    z /= total[:, None]
+    return z, picked - np.log(total)
 
 
 def _forward(net: Network, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list, np.ndarray]:
@@ -170,11 +183,11 @@ def _forward(net: Network, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, ke
 def _log_probs(net: Network, s: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of targets (class part alone for shapes) from states (M, H)."""
     cls = net.class_of(target)
-    lp = _log_softmax(s @ net.wc + net.bc)
-    out = lp[np.arange(len(target)), cls].astype(np.float64)
-    for c, at in _runs(cls, net.word_classes):
-        z = _log_softmax(s[at] @ net.wo[c] + net.bo[c])
-        out[at] += z[np.arange(len(at)), target[at] - c * CLASS_SIZE]
+    z = s @ net.wc
+    z += net.bc
+    out = _softmax(z, cls)[1].astype(np.float64)
+    at, parts = _runs(cls, net.word_classes)
+    out[at] += _softmax(_word_logits(net, s[at], parts), target[at] % CLASS_SIZE)[1]
     return out
 
 
@@ -186,24 +199,27 @@ def gradients(net: Network, ids: np.ndarray, target: np.ndarray, fresh: np.ndarr
     count = max(1.0, float(w.sum()))
     # output layer
     cls = net.class_of(y)
-    lp = _log_softmax(s @ net.wc + net.bc)
     rows = np.arange(len(y))
-    loss = -float((lp[rows, cls] * w).sum())
-    d = np.exp(lp)
+    d = s @ net.wc
+    d += net.bc
+    d, lp = _softmax(d, cls)
+    loss = -float((lp * w).sum())
     d[rows, cls] -= 1
     d *= (w / count)[:, None]
     g_wc, g_bc = s.T @ d, d.sum(axis=0)
     ds = d @ net.wc.T
     g_wo, g_bo = np.zeros_like(net.wo), np.zeros_like(net.bo)
-    for c, at in _runs(cls, net.word_classes):
-        z = _log_softmax(s[at] @ net.wo[c] + net.bo[c])
-        k = y[at] - c * CLASS_SIZE
-        loss -= float((z[np.arange(len(at)), k] * w[at]).sum())
-        e = np.exp(z)
-        e[np.arange(len(at)), k] -= 1
-        e *= (w[at] / count)[:, None]
-        g_wo[c], g_bo[c] = s[at].T @ e, e.sum(axis=0)
-        ds[at] += e @ net.wo[c].T
+    at, parts = _runs(cls, net.word_classes)
+    of, k = s[at], y[at] % CLASS_SIZE
+    e, lp = _softmax(_word_logits(net, of, parts), k)
+    loss -= float((lp * w[at]).sum())
+    e[rows[: len(at)], k] -= 1
+    e *= (w[at] / count)[:, None]
+    back = np.empty_like(of)
+    for c, own in parts:
+        g_wo[c], g_bo[c] = of[own].T @ e[own], e[own].sum(axis=0)
+        np.matmul(e[own], net.wo[c].T, out=back[own])
+    ds[at] += back
     # recurrence, back through the window
     ds = np.ascontiguousarray(ds.reshape(*ids.shape, hid).transpose(0, 2, 1))
     dg = np.empty((len(ids), 3 * hid, lanes), dtype=net.x.dtype)
