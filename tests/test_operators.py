@@ -82,3 +82,13 @@ def test_gradients_are_those_of_the_loss(spark):
         down = loss()
         w[k][0][1, 2] += 1e-6
         assert abs((up - down) / 2e-6 - grad[k][0][1, 2]) < 1e-6
+
+
+def test_bodies_are_not_broadcast(spark, monkeypatch):
+    """Points and accelerations are as many as the bodies, whatever Spark's estimate of their files."""
+    plans, save = [], nbody.Scratch.save
+    monkeypatch.setattr(nbody.Scratch, "save", lambda self, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df, name))
+    points = spark.range(50).selectExpr("id", "float(id) x", "float(id % 7) y", "float(id % 3) z", "float(1) mass")
+    pairs = spark.range(49).selectExpr("id target", "id + 1 actor")
+    assert nbody.simulate(points, pairs, 2).count() == 50
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
