@@ -92,3 +92,10 @@ def test_bodies_are_not_broadcast(spark, monkeypatch):
     pairs = spark.range(49).selectExpr("id target", "id + 1 actor")
     assert nbody.simulate(points, pairs, 2).count() == 50
     assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_accelerations_of_parts_are_not_broadcast(spark, sf):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["F6_nbody_accelerations"](spark, sf)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
