@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warpline.plans.scratch import Scratch
+from warpline.operators.union_find import components
+from warpline.plans.scratch import Scratch, bounded
 
 
 def pagerank_step(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -36,34 +37,22 @@ def with_out_links(edges: DataFrame, rank: float = 1.0) -> DataFrame:
     return ends.join(out, "id", "left").select("id", F.lit(rank).alias("rank"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def component_step(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One round of minimum labels: the ``(id, label)`` rows that change, over ``edges(a, b)``."""
-    la = labels.select(F.col("id").alias("a"), F.col("label").alias("_la"))
-    lb = labels.select(F.col("id").alias("b"), F.col("label").alias("_lb"))
-    ends = edges.join(la, "a").join(lb, "b").where("_la <> _lb")
-    lower = ends.select(F.when(F.col("_la") > F.col("_lb"), F.col("a")).otherwise(F.col("b")).alias("id"), F.least("_la", "_lb").alias("label"))
-    return lower.groupBy("id").agg(F.min("label").alias("label"))
-
-
 def connected_components(edges: DataFrame, max_iterations: int = 100) -> DataFrame:
     """``(id, label)``: the smallest id of each node's component, over ``edges(a, b)``.
 
-    Rounds of minimum labels, each followed by taking the label's own label,
-    until nothing changes: the stop is an empty update, whatever the sizes.
+    Union-find, the edges of which shrink by a share in every round, so that all
+    rounds together move little more than the first. A node whose only edge is a
+    loop is its own component; edges with a null end are left out.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    edges = scratch.save(edges.select("a", "b").where("a is not null and b is not null").distinct(), "edges")
-    labels = scratch.save(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id")), "labels")
-    for _ in range(max_iterations):
-        update = scratch.save(component_step(edges, labels), "update")
-        if update.isEmpty():
-            break
-        moved = labels.join(update.withColumnRenamed("label", "_l"), "id", "left").select("id", F.coalesce("_l", "label").alias("label"))
-        jump = moved.select(F.col("id").alias("label"), F.col("label").alias("_up"))
-        moved = moved.join(jump, "label").select("id", F.col("_up").alias("label"))
-        new = scratch.save(moved, "labels")
-        scratch.drop(labels, update)
-        labels = new
-    else:
-        raise RuntimeError("labels still change after the given rounds")
+    edges = scratch.save(edges.select("a", "b").where("a is not null and b is not null"), "links")
+    roots = components(edges, scratch, max_iterations)
+    least = scratch.save(roots.groupBy("root").agg(F.min("node").alias("label")), "least")
+    labels = roots.join(bounded(least), "root").select(F.col("node").alias("id"), "label")
+    loops = scratch.save(edges.where("a = b").select(F.col("a").alias("id")).distinct(), "loops")
+    if not loops.isEmpty():
+        alone = loops.join(roots.select(F.col("node").alias("id")), "id", "left_anti")
+        labels = labels.unionByName(alone.withColumn("label", F.col("id")))
+    labels = scratch.save(labels, "labels")
+    scratch.drop(edges, roots, least, loops)
     return labels
