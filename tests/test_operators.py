@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from warpline.operators import clustering, etl, graph, keyed, nbody, network
 from warpline.operators.frame import cl, pair_cl
+from warpline.plans import kernel_queries
 
 
 def test_async_value_and_metadata(spark):
@@ -99,3 +103,37 @@ def test_accelerations_of_parts_are_not_broadcast(spark, sf):
 
     df = entry.queries()["F6_nbody_accelerations"](spark, sf)
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+class _Held:
+    """A frame that gives back the function over its partitions."""
+
+    columns = ["v"]
+    select = lambda self, *_: self
+    mapInArrow = map_partitions_async = lambda self, f, _: f
+
+
+def _byte_rows(sizes):
+    ends = np.r_[0, np.cumsum(sizes)]
+    data = np.random.default_rng(1).integers(-128, 128, ends[-1]).astype(np.int8)
+    rows = [data[a:b].astype(int) for a, b in zip(ends, ends[1:])]
+    return rows, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(data))
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_bytes_of_a_batch_are_widened_in_pieces(monkeypatch):
+    monkeypatch.setattr(kernel_queries, "cl", lambda _: _Held())
+    monkeypatch.setattr(kernel_queries.X, "byte_arrays", lambda *_: None)
+    rows, v = _byte_rows([0, 5, 0, 3 << 20, 1 << 20, 0, *[10_007] * 800, 0])
+    f, skip = kernel_queries.d29(None, None), 2
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(v))), v], names=["id", "v"]).slice(skip)
+    got, peak = _peak(lambda: list(f(iter([batch, batch.slice(0, 0)]))))
+    assert got[0].column(1).to_pylist() == [int((((2 * r + 128) % 256 - 128) - r).sum()) for r in rows[skip:]]
+    assert got[1].num_rows == 0 and peak < 60
