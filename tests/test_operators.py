@@ -137,3 +137,11 @@ def test_bytes_of_a_batch_are_widened_in_pieces(monkeypatch):
     got, peak = _peak(lambda: list(f(iter([batch, batch.slice(0, 0)]))))
     assert got[0].column(1).to_pylist() == [int((((2 * r + 128) % 256 - 128) - r).sum()) for r in rows[skip:]]
     assert got[1].num_rows == 0 and peak < 60
+
+
+def test_an_inner_loop_holds_one_element_as_objects(spark):
+    rows, v = _byte_rows([50_000] * 40)
+    f = cl(_Held()).map_partitions_accel(lambda items, accel: (sum(x) for x in items), "long")
+    got, peak = _peak(lambda: list(f(iter([pa.RecordBatch.from_arrays([v], names=["v"])]))))
+    assert got[0].column(0).to_pylist() == [int(r.sum()) for r in rows]
+    assert peak < 8

@@ -8,7 +8,6 @@ NumPy or Arrow batches instead. Output types are declared and checked.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -117,7 +116,8 @@ class KernelFrame:
             return kernel(np.arange(n))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = chain.from_iterable(b.column(value).to_pylist() for b in batches)
+            # one element at a time: a batch of long arrays as Python objects takes many times its Arrow memory
+            items = (b.column(value).slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows))
             held: list = []
             for x in f(items, accel):
                 held.append(x)
