@@ -145,3 +145,17 @@ def test_an_inner_loop_holds_one_element_as_objects(spark):
     got, peak = _peak(lambda: list(f(iter([pa.RecordBatch.from_arrays([v], names=["v"])]))))
     assert got[0].column(0).to_pylist() == [int(r.sum()) for r in rows]
     assert peak < 8
+
+
+def test_crop_computes_an_image_once(spark):
+    rows = [(1, 2, 3, 3, bytes(range(240, 256)) + b"\x00\x01"), (2, 2, 2, 3, b"\x07\x08\x09"), (3, 2, 2, 3, None), (4, 1, 2, 3, b"abcdef"), (5, 2, 2, -1, b"abcdef")]
+    images = spark.createDataFrame(rows, "id int, height int, width int, channels int, data binary")
+    got = etl.crop_rgb(images.withColumn("data", F.unhex(F.hex("data"))), 2, 2)
+    assert {r.id: r.v for r in got.collect()} == {
+        1: [242, 241, 240, 245, 244, 243, 251, 250, 249, 254, 253, 252],
+        2: [9, 8, 7, *[None] * 9],
+        3: [None] * 12,
+        5: [99, 98, 97, 98, 97, None, 97, None, None, None, None, None],
+    }
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" in plan.split("lambdafunction")[0]

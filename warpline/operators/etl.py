@@ -72,7 +72,9 @@ def crop_rgb(images: DataFrame, height: int, width: int) -> DataFrame:
 
     ``data`` has the layout of Spark's image source: rows from the top, B G R.
     """
-    hexes = F.regexp_extract_all(F.hex("data"), F.lit(".."), F.lit(0))
     at = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.transform(F.array(F.lit(2), F.lit(1), F.lit(0)), lambda k: (r * F.col("width") + c) * F.col("channels") + k)))))
-    rows = images.where((F.col("height") >= height) & (F.col("width") >= width)).withColumn("_h", hexes)
-    return rows.select("id", F.transform(at, lambda i: F.conv(F.get("_h", i), 16, 10).cast("int")).alias("v"))
+    rows = images.where((F.col("height") >= height) & (F.col("width") >= width))
+    # the lambda's parameter is computed once for each image; a column that it names would be for each byte
+    byte = lambda b, i: F.when(i >= 0, F.conv(F.hex(F.substring(b, i + 1, 1)), 16, 10).cast("int"))
+    cut = F.transform(F.array("data"), lambda b: F.transform(at, lambda i: byte(b, i)))
+    return rows.select("id", F.get(cut, F.lit(0)).alias("v"))
